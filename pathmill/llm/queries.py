@@ -1,12 +1,16 @@
 """The corpus operators' queries, each over its whole table, and their SQL where SQL can express them."""
 
 from pathmill.llm.linededup import OP5_SQL, op5_line_dedup
+from pathmill.llm.ordinal import op1_ordinal_quality
+from pathmill.llm.rules import op7_quality_rules
 from pathmill.llm.sharding import op10_kd_sharding
 from pathmill.llm.simhash import op2_simhash
 
 QUERIES = {
+    "op1_ordinal_quality": op1_ordinal_quality,
     "op2_simhash": op2_simhash,
     "op5_line_dedup": op5_line_dedup,
+    "op7_quality_rules": op7_quality_rules,
     "op10_kd_sharding": op10_kd_sharding,
 }
 
