@@ -2,6 +2,7 @@
 
 from pathmill.llm.linededup import OP5_SQL, op5_line_dedup
 from pathmill.llm.ordinal import op1_ordinal_quality
+from pathmill.llm.packing import op6_best_fit_packing
 from pathmill.llm.rules import op7_quality_rules
 from pathmill.llm.sharding import op10_kd_sharding
 from pathmill.llm.simhash import op2_simhash
@@ -10,6 +11,7 @@ QUERIES = {
     "op1_ordinal_quality": op1_ordinal_quality,
     "op2_simhash": op2_simhash,
     "op5_line_dedup": op5_line_dedup,
+    "op6_best_fit_packing": op6_best_fit_packing,
     "op7_quality_rules": op7_quality_rules,
     "op10_kd_sharding": op10_kd_sharding,
 }
