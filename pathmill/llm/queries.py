@@ -1,5 +1,6 @@
 """The corpus operators' queries, each over its whole table, and their SQL where SQL can express them."""
 
+from pathmill.llm.decontam import op8_bm25_decontamination
 from pathmill.llm.fixity import OP3_SQL, op3_merkle_fixity
 from pathmill.llm.linededup import OP5_SQL, op5_line_dedup
 from pathmill.llm.ordinal import op1_ordinal_quality
@@ -16,6 +17,7 @@ QUERIES = {
     "op5_line_dedup": op5_line_dedup,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_quality_rules": op7_quality_rules,
+    "op8_bm25_decontamination": op8_bm25_decontamination,
     "op9_url_templates": op9_url_templates,
     "op10_kd_sharding": op10_kd_sharding,
 }
