@@ -63,12 +63,12 @@ def _score_batches(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer([weights] if weights is not None else [])
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
                 words = [t.encode("utf-8", "surrogatepass").split() if t else [] for t in part.column("text").to_pylist()]
-                n = np.array([len(w) for w in words], np.int64)
+                n, _, sums = scorer(words)
                 if weights is not None:
-                    z = np.array([scorer(w)[0] for w in words])
+                    z = sums[:, 0]
                     reach = sigmoid(z[:, None] - cuts).reshape(len(words), -1)
                     expected, tail = reach.sum(axis=1), reach[:, -1]
                 else:

@@ -23,7 +23,7 @@ from pathmill.llm.textmodel import TRAIN_ROWS, Sample, Scorer, minimize, sigmoid
 
 SYMBOLS = "#*$%&|<>"
 SPACES = "\x20\x09\x0a\x0b\x0c\x0d"
-MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 10, 20, 5
+MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
 KEEP_QUALITY, DROP_TOXIC = 0.5, 0.2
 PENALTY = 3e-6
 #: Every so many-th row of the sample is held out for calibration.
@@ -80,29 +80,12 @@ def calibrate(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(a), float(b)
 
 
-def base_counts(text: str | None, words: list[bytes]) -> tuple[int, int, int, int, int]:
-    """(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words) of a text."""
+def base_counts(text: str | None) -> tuple[int, int, int]:
+    """(word_chars, n_symbols, n_dup_lines) of a text."""
     if not text:
-        return 0, 0, 0, 0, 0
+        return 0, 0, 0
     lines = [x for x in text.split("\n") if x.strip(SPACES)]
-    numbers: dict[bytes, int] = {}
-    at = np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), np.int64, len(words))
-    return len(words), len(text) - sum(map(text.count, SPACES)), sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), repeat_words(at)
-
-
-def repeat_words(at: np.ndarray) -> int:
-    """Words inside windows of five that occur at least twice; ``at`` holds a number for each distinct word."""
-    n = len(at) - WINDOW + 1
-    if n < 2:
-        return 0
-    names = at
-    for k in range(1, WINDOW):  # names of windows of k + 1 words, exact: a shorter window's name and one more word, numbered anew
-        _, names, counts = np.unique(names[: len(at) - k] * np.int64(len(at) + 1) + at[k:], return_inverse=True, return_counts=True)
-    twice = np.flatnonzero(counts[names] > 1)
-    marks = np.zeros(len(at) + 1, np.int64)
-    np.add.at(marks, twice, 1)
-    np.add.at(marks, twice + WINDOW, -1)
-    return int((np.cumsum(marks[:-1]) > 0).sum())
+    return len(text) - sum(map(text.count, SPACES)), sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines))
 
 
 def _score_batches(heads: list[Head]):
@@ -111,15 +94,12 @@ def _score_batches(heads: list[Head]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer([h.weights for h in live])
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                counts, sums = [], []
-                for text in part.column("text").to_pylist():
-                    words = text.encode("utf-8", "surrogatepass").split() if text else []
-                    counts.append(base_counts(text, words))
-                    sums.append(scorer(words))
-                counts = np.array(counts, np.int64).reshape(-1, 5)
-                chance = iter(h.probability(z) for h, z in zip(live, np.array(sums).reshape(len(sums), -1).T, strict=True))
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                texts = part.column("text").to_pylist()
+                n, repeats, sums = scorer([t.encode("utf-8", "surrogatepass").split() if t else [] for t in texts])
+                counts = np.column_stack([n, np.array([base_counts(t) for t in texts], np.int64).reshape(-1, 3), repeats])
+                chance = iter(h.probability(z) for h, z in zip(live, sums.T, strict=True))
                 by_head = [next(chance) if h.weights is not None else None for h in heads]
                 rest = [part.column(c) for c in part.schema.names if c != "text"]
                 arrays = [*rest, *(pa.array(counts[:, i]) for i in range(5)), *(pa.array(np.full(part.num_rows, np.nan) if p is None else p) for p in by_head)]

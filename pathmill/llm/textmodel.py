@@ -1,15 +1,14 @@
 """Hashed text features and the fits that the two classifiers share.
 
 A text is the set of its lower-cased words, its word pairs, and the 3- to 5-character n-grams of its distinct words (a
-gram counts once for each distinct word that holds it), hashed to 2^18 columns. Fits run on a bounded sample of the
+n-gram counts for each distinct word that holds it), hashed to 2^18 columns. Fits run on a bounded sample of the
 labelled rows, drawn by a hash of doc_id; scoring reads every row in Arrow batches.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Callable, Iterator
-from itertools import pairwise
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,9 +20,9 @@ from pathmill.llm.simhash import LOWER
 
 COLUMNS = 1 << 18
 #: The fit takes at most this many labelled rows.
-TRAIN_ROWS = 6000
+TRAIN_ROWS = 4000
 #: Columns that fewer rows of the sample have get no weight.
-MIN_ROWS = 4
+MIN_ROWS = 6
 #: Distinct words that a Python worker remembers; it starts afresh beyond them.
 KNOWN_WORDS = 400_000
 PAIR = np.uint64(0x9E3779B97F4A7C15)
@@ -31,62 +30,77 @@ PAIR = np.uint64(0x9E3779B97F4A7C15)
 WORD, GRAM, TWO = 3.0, 0.5, 0.5
 
 
-def word_columns(word: bytes) -> list[int]:
-    """Columns of one word: itself and its 3- to 5-character n-grams between marks."""
-    word = word.translate(LOWER)
-    marked = "<" + word.decode("utf-8", "replace")[:64] + ">"
-    grams = {marked[i : i + k] for k in (3, 4, 5) for i in range(len(marked) - k + 1)}
-    return [zlib.crc32(b"w" + word) % COLUMNS, *(zlib.crc32(g.encode("utf-8", "replace")) % COLUMNS for g in grams)]
+def mixed(h: np.ndarray) -> np.ndarray:
+    h = h * PAIR
+    h ^= h >> np.uint64(31)
+    return h * PAIR
+
+
+def column(h: np.ndarray) -> np.ndarray:
+    return (mixed(h) >> np.uint64(40)).astype(np.int64) % COLUMNS
+
+
+def word_columns(low: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of lower-cased words: their hashes and columns, and the owners and columns of their 3- to 5-character n-grams between marks."""
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, low), np.uint64, len(low))
+    text = b"<" + b">\0<".join(w.replace(b"\0", b"\1") for w in low) + b">"
+    code = np.frombuffer(text.decode("utf-8", "replace").encode("utf-32-le"), np.uint32).astype(np.uint64)
+    owner = np.cumsum(code == 0)
+    owners, columns = [], []
+    gram = code
+    for k in range(2, 6):
+        gram = mixed(gram[:-1]) ^ code[k - 1 :]
+        if k > 2:
+            inside = (owner[: len(gram)] == owner[k - 1 :]) & (code[: len(gram)] > 0)
+            owners.append(owner[: len(gram)][inside])
+            columns.append(column(gram[inside]))
+    return hashes, column(hashes), np.concatenate(owners), np.concatenate(columns)
 
 
 class Words(dict):
-    """word -> number; keeps for each number a hash of the lower-cased word and, with weights, the word's score."""
-
-    def __init__(self, weights: np.ndarray | None = None):
-        self.weights, self.hashes, self.scores = weights, [], []
-        self.as_arrays = None
-
-    def __missing__(self, word: bytes) -> int:
-        n = self[word] = len(self.hashes)
-        low = word.translate(LOWER)
-        self.hashes.append(xxhash.xxh64_intdigest(low))
-        if self.weights is not None:
-            cols = word_columns(word)
-            self.scores.append(WORD * float(self.weights[cols[0]]) + GRAM * float(self.weights[cols[1:]].sum()))
-        return n
-
-    def arrays(self) -> tuple[np.ndarray, np.ndarray]:
-        if self.as_arrays is None or len(self.as_arrays[0]) < len(self.hashes):
-            room = max(1024, 2 * len(self.hashes))
-            h, s = np.zeros(room, np.uint64), np.zeros(room)
-            h[: len(self.hashes)] = self.hashes
-            s[: len(self.scores)] = self.scores
-            self.as_arrays, self.filled = (h, s), len(self.hashes)
-        elif self.filled < len(self.hashes):
-            self.as_arrays[0][self.filled : len(self.hashes)] = self.hashes[self.filled :]
-            if self.scores:
-                self.as_arrays[1][self.filled : len(self.scores)] = self.scores[self.filled :]
-            self.filled = len(self.hashes)
-        return self.as_arrays
+    """word -> number. For each number: the number of the lower-cased word, its hash, and its score for each head."""
+
+    def __init__(self, weights: list[np.ndarray]):
+        self.weights = weights
+        self.low, self.hashes = np.zeros(1024, np.int64), np.zeros(1024, np.uint64)
+        self.scores = np.zeros((len(weights), 1024))
+
+    def learn(self, words: set[bytes]) -> None:
+        """Numbers the words that are new."""
+        new = words - self.keys()
+        low = list({w.translate(LOWER) for w in new} - self.keys())
+        first = len(self)
+        self.update(zip(low, range(first, first + len(low)), strict=True))
+        rest = list(new - self.keys())
+        self.update(zip(rest, range(first + len(low), first + len(low) + len(rest)), strict=True))
+        while len(self) > len(self.low):
+            self.low, self.hashes = np.r_[self.low, self.low], np.r_[self.hashes, self.hashes]
+            self.scores = np.concatenate([self.scores, self.scores], axis=1)
+        mid = first + len(low)
+        self.low[first:mid] = np.arange(first, mid)
+        self.low[mid : len(self)] = [self[w.translate(LOWER)] for w in rest]
+        if low:
+            self.hashes[first:mid], own, owner, gram = word_columns(low)
+            for k, w in enumerate(self.weights):
+                self.scores[k, first:mid] = WORD * w[own] + GRAM * np.bincount(owner, weights=w[gram], minlength=len(low))
 
 
 def pair_columns(hashes: np.ndarray) -> np.ndarray:
-    """Distinct columns of the word pairs of a text, from its words' hashes."""
-    mixed = (hashes[:-1] * PAIR) ^ hashes[1:]
-    mixed ^= mixed >> np.uint64(31)
-    mixed *= PAIR
-    return np.unique((mixed >> np.uint64(40)) % np.uint64(COLUMNS)).astype(np.int64)
+    """The column of each pair of neighbouring words, from the words' hashes."""
+    return column(mixed(hashes[:-1]) ^ hashes[1:])
 
 
 def text_columns(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """(columns, values) of a text."""
-    words = text.encode("utf-8", "surrogatepass").split() if text else []
+    words = [w.translate(LOWER) for w in text.encode("utf-8", "surrogatepass").split()] if text else []
     if not words:
         return np.zeros(0, np.int64), np.zeros(0)
-    own = [word_columns(w) for w in {w.translate(LOWER) for w in words}]
-    two = pair_columns(np.array([xxhash.xxh64_intdigest(w.translate(LOWER)) for w in words], np.uint64))
-    cols = np.concatenate([np.array([c for x in own for c in x], np.int64), two])
-    values = np.concatenate([[v for x in own for v in (WORD, *[GRAM] * (len(x) - 1))], np.full(len(two), TWO)])
+    low = list(set(words))
+    hashes, own, _, gram = word_columns(low)
+    number = dict(zip(low, range(len(low)), strict=True))
+    two = np.unique(pair_columns(hashes[np.fromiter(map(number.__getitem__, words), np.int64, len(words))]))
+    cols = np.concatenate([own, gram, two])
+    values = np.repeat([WORD, GRAM, TWO], [len(own), len(gram), len(two)])
     cols, at = np.unique(cols, return_inverse=True)
     return cols, np.bincount(at, weights=values) * scale(len(words))
 
@@ -97,32 +111,56 @@ def scale(n_words: int | np.ndarray) -> np.ndarray:
 
 
 class Scorer:
-    """Sums of weights over whole texts, with one remembered score a distinct word; heads share the words."""
+    """Sums of weights over whole texts, many texts at a time, with one remembered score a distinct word."""
 
     def __init__(self, weights: list[np.ndarray]):
-        self.weights = weights
-        self._forget()
-
-    def _forget(self) -> None:
-        self.words: list[Words] = [Words(w) for w in self.weights]
-
-    def __call__(self, words: list[bytes]) -> list[float]:
-        """The damped sum for each head."""
-        if not words:
-            return [0.0] * len(self.weights)
-        if len(self.words[0]) > KNOWN_WORDS:
-            self._forget()
-        distinct = list({w.translate(LOWER) for w in words})
-        out, two = [], None
-        for known, weights in zip(self.words, self.weights, strict=True):
-            at = np.fromiter(map(known.__getitem__, distinct), np.int64, len(distinct))
-            if two is None:
-                h, _ = known.arrays()
-                order = dict(zip(distinct, h[at].tolist(), strict=True))
-                two = pair_columns(np.fromiter((order[w] for w in b" ".join(words).translate(LOWER).split(b" ")), np.uint64, len(words)))
-            total = known.arrays()[1][at].sum() + TWO * weights[two].sum()
-            out.append(float(total * scale(len(words))))
-        return out
+        self.weights = [w.astype(np.float32) for w in weights]
+        self.words = Words(self.weights)
+
+    def __call__(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(n_words, words in windows that repeat, damped sums for each head) of texts given as words."""
+        if len(self.words) > KNOWN_WORDS:
+            self.words = Words(self.weights)
+        n = np.fromiter(map(len, texts), np.int64, len(texts))
+        sums = np.zeros((len(texts), len(self.weights)))
+        if not n.sum():
+            return n, np.zeros(len(texts), np.int64), sums
+        known = self.words
+        known.learn(set(chain.from_iterable(texts)))
+        at = np.fromiter(map(known.__getitem__, chain.from_iterable(texts)), np.int64, int(n.sum()))
+        doc = np.repeat(np.arange(len(texts)), n)
+        low = known.low[at]
+        if self.weights:
+            key = np.unique(doc << 32 | low)
+            d, w = key >> 32, key & 0xFFFFFFFF
+            two = pair_columns(known.hashes[low])
+            pair = np.unique((doc[1:] << 32 | two)[doc[1:] == doc[:-1]])
+            pd, pc = pair >> 32, pair & 0xFFFFFFFF
+            for k, head in enumerate(self.weights):
+                sums[:, k] = np.bincount(d, weights=known.scores[k, w], minlength=len(texts)) + TWO * np.bincount(pd, weights=head[pc], minlength=len(texts))
+            sums *= scale(n)[:, None]
+        return n, repeated_words(at, doc, len(texts)), sums
+
+
+def repeated_words(at: np.ndarray, doc: np.ndarray, texts: int, window: int = 5) -> np.ndarray:
+    """Per text, the words inside windows of five words that occur at least twice in it; ``at`` numbers the words."""
+    n = len(at) - window + 1
+    if n < 2:
+        return np.zeros(texts, np.int64)
+    name = (doc[:n].astype(np.uint64) + np.uint64(1)) * PAIR
+    name ^= name >> np.uint64(31)
+    for k in range(window):
+        name = (name ^ at[k : k + n].astype(np.uint64)) * PAIR
+        name ^= name >> np.uint64(32)
+    inside = doc[:n] == doc[window - 1 :]
+    ordered = np.sort(name[inside])
+    twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
+    if not len(twice):
+        return np.zeros(texts, np.int64)
+    place = np.minimum(np.searchsorted(twice, name), len(twice) - 1)
+    hit = np.flatnonzero((twice[place] == name) & inside)
+    marks = np.bincount(hit, minlength=len(at) + 1) - np.bincount(hit + window, minlength=len(at) + 1)
+    return np.bincount(doc[np.cumsum(marks[: len(at)]) > 0], minlength=texts)
 
 
 def _column_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,9 +186,9 @@ class Sample:
         texts = docs.select(F.col("doc_id").alias("_id"), F.col("text").cast("string").alias("text"))
         joined = texts.join(F.broadcast(drawn), F.col("_id") == F.col("doc_id")).select(F.xxhash64("doc_id").alias("at"), *targets, "text")
         kinds = ", ".join(["at long", *(f"{t} double" for t in targets), "cols array<int>, counts array<float>"])
-        found = joined.mapInArrow(_column_batches, kinds).toArrow().combine_chunks()
+        found = joined.mapInArrow(_column_batches, kinds).toArrow()
         if found.num_rows:
-            found = found.sort_by([("at", "ascending"), *((t, "ascending") for t in targets)])
+            found = found.sort_by([("at", "ascending"), *((t, "ascending") for t in targets)]).combine_chunks()
         self.n = found.num_rows
         self.order = found.column("at").to_numpy()
         self.y = {t: found.column(t).to_numpy() for t in targets}
@@ -160,9 +198,9 @@ class Sample:
         values = lists[1].flatten().to_numpy() if self.n else np.zeros(0, np.float32)
         often = np.bincount(cols, minlength=COLUMNS) >= MIN_ROWS
         self.active = np.flatnonzero(often)
-        number = np.cumsum(often) - 1
+        number = (np.cumsum(often) - 1).astype(np.int32)
         kept = often[cols]
-        self.row, self.cols, self.values = np.repeat(np.arange(self.n), sizes)[kept], number[cols[kept]], values[kept]
+        self.row, self.cols, self.values = np.repeat(np.arange(self.n, dtype=np.int32), sizes)[kept], number[cols[kept]], values[kept]
 
     def dot(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, weights=w[self.cols] * self.values, minlength=self.n)
@@ -177,7 +215,7 @@ class Sample:
         return out
 
 
-def minimize(f: Callable[[np.ndarray], tuple[float, np.ndarray]], x: np.ndarray, rounds: int = 40, memory: int = 8) -> np.ndarray:
+def minimize(f: Callable[[np.ndarray], tuple[float, np.ndarray]], x: np.ndarray, rounds: int = 30, memory: int = 8) -> np.ndarray:
     """Limited-memory BFGS with backtracking."""
     value, g = f(x)
     past: list[tuple[np.ndarray, np.ndarray, float]] = []
