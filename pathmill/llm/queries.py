@@ -1,6 +1,7 @@
 """The corpus operators' queries, each over its whole table, and their SQL where SQL can express them."""
 
 from pathmill.llm.decontam import op8_bm25_decontamination
+from pathmill.llm.exactsubstr import op4_suffix_dedup
 from pathmill.llm.fixity import OP3_SQL, op3_merkle_fixity
 from pathmill.llm.linededup import OP5_SQL, op5_line_dedup
 from pathmill.llm.ordinal import op1_ordinal_quality
@@ -14,6 +15,7 @@ QUERIES = {
     "op1_ordinal_quality": op1_ordinal_quality,
     "op2_simhash": op2_simhash,
     "op3_merkle_fixity": op3_merkle_fixity,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_line_dedup": op5_line_dedup,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_quality_rules": op7_quality_rules,
