@@ -128,6 +128,26 @@ def judge(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", fitted_
     return out.withColumnRenamed("_id", id_column)
 
 
+def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that are kept, with their columns as they are."""
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        heads = shared.value
+        live = [(h, good) for h, good in zip(heads, (lambda p: p >= KEEP_QUALITY, lambda p: p < DROP_TOXIC), strict=True) if h.weights is not None]
+        scorer = Scorer([h.weights for h, _ in live])
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                n, repeats, sums = scorer([t.encode("utf-8", "surrogatepass").split() if t else [] for t in part.column("text").to_pylist()])
+                kept = (n >= MIN_WORDS) & (100 * repeats <= MAX_REPEAT_PERCENT * n)
+                for (head, good), z in zip(live, sums.T, strict=True):
+                    kept &= good(head.probability(z))
+                yield part.filter(pa.array(kept))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "p_quality", "p_toxic")

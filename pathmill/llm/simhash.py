@@ -158,18 +158,42 @@ def flips_outside(positions: tuple[int, ...]) -> list[int]:
     return np.array(values, np.uint64).view(np.int64).tolist()
 
 
+def components(rows: DataFrame) -> DataFrame:
+    """(_fp, root) of each distinct fingerprint of ``rows`` (fp): root names its component."""
+    nodes = materialize(rows.select("fp").distinct())
+    roots = connected_components(links(nodes))
+    return nodes.join(roots, F.col("fp") == F.col("node"), "left").select(F.col("fp").alias("_fp"), F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row of ``docs``; component_id is the smallest doc_id reachable."""
     rows = materialize(fingerprints(docs))
-    per_fp = rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    nodes = materialize(per_fp)
-    roots = connected_components(links(nodes.select("fp")))
-    named = nodes.join(roots, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp"))
-    names = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    of_fp = named.select("fp", "root").join(names, "root").select(F.col("fp").alias("_fp"), "component_id")
+    named = materialize(components(rows))
+    first = rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
+    names = first.join(named, F.col("fp") == F.col("_fp")).groupBy("root").agg(F.min("first_id").alias("component_id"))
+    of_fp = named.join(names, "root").select("_fp", "component_id")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return rows.join(of_fp, F.col("fp") == F.col("_fp")).select("doc_id", hexed.alias("fingerprint"), "component_id")
 
 
+def _fingerprint_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            values = fingerprint_values(part.column(part.schema.get_field_index("text")).to_pylist())
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(values.view(np.int64))], names=[*part.schema.names, "_fingerprint"])
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """``docs`` without near-duplicates: of each component the row with the smallest doc_id stays, of repeated ids one row."""
+    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
+    rows = materialize(numbered.mapInArrow(_fingerprint_rows, numbered.withColumn("_fingerprint", F.lit(0).cast("long")).schema))
+    short = rows.select(F.col("_fingerprint").alias("fp"), "doc_id", "_row")
+    named = materialize(components(short))
+    first = short.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("first"))
+    kept = first.join(named, F.col("fp") == F.col("_fp")).groupBy("root").agg(F.min("first").alias("first")).select(F.col("first._row").alias("_kept"))
+    return rows.join(kept, F.col("_row") == F.col("_kept"), "left_semi").select(*docs.columns)
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
