@@ -41,34 +41,34 @@ def boilerplate(docs: DataFrame, max_ratio: float = MAX_RATIO, min_pages: int =
     pages = docs.groupBy(site).agg(F.count(F.lit(1)).alias("n"))
     seen = docs.select(site, F.explode(F.array_distinct(F.transform(_lines(F.col("text").cast("string")), _hash))).alias("line")).where("line is not null")
     counts = seen.groupBy("site", "line").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= min_pages)
-    n = pages.select(F.col("site").alias("_site"), "n")
-    over = counts.join(n, F.col("site").eqNullSafe(F.col("_site"))).where(F.col("pages") > F.col("n") * max_ratio)
+    n = pages.select(F.col("site").alias("__pathmill_site"), "n")
+    over = counts.join(n, F.col("site").eqNullSafe(F.col("__pathmill_site"))).where(F.col("pages") > F.col("n") * max_ratio)
     return over.groupBy("site").agg(F.collect_list("line").alias("lines"))
 
 
 def drop_boilerplate(docs: DataFrame, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """``docs`` with its boilerplate lines taken out of ``text``, and ``_lines`` and ``_dropped``: how many it had and lost."""
+    """``docs`` with its boilerplate lines taken out of ``text``, and ``__pathmill_lines`` and ``__pathmill_dropped``: how many it had and lost."""
     spark = docs.sparkSession
     found = materialize(boilerplate(docs, max_ratio, min_pages))
     total = found.agg(F.sum(F.size("lines"))).first()[0] or 0
     site = F.col("source").cast("string")
     if total * 32 <= BROADCAST_BYTES:
-        found = F.broadcast(found.withColumnRenamed("lines", "_boiler").withColumnRenamed("site", "_site"))
-        joined = docs.join(found, site.eqNullSafe(F.col("_site")), "left")
+        found = F.broadcast(found.withColumnRenamed("lines", "__pathmill_boiler").withColumnRenamed("site", "__pathmill_site"))
+        joined = docs.join(found, site.eqNullSafe(F.col("__pathmill_site")), "left")
     else:
-        salted = found.select(F.col("site").alias("_site"), F.col("lines").alias("_boiler"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
-        joined = docs.join(salted, site.eqNullSafe(F.col("_site")) & (F.pmod(F.xxhash64(F.col("text").cast("string")), F.lit(SALTS)) == F.col("_salt")), "left")
+        salted = found.select(F.col("site").alias("__pathmill_site"), F.col("lines").alias("__pathmill_boiler"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__pathmill_salt"))
+        joined = docs.join(salted, site.eqNullSafe(F.col("__pathmill_site")) & (F.pmod(F.xxhash64(F.col("text").cast("string")), F.lit(SALTS)) == F.col("__pathmill_salt")), "left")
     lines = _lines(F.col("text").cast("string"))
-    kept = F.filter(lines, lambda x: F.coalesce(~F.array_contains(F.coalesce(F.col("_boiler"), F.array().cast("array<struct<h:bigint,g:bigint>>")), _hash(x)), F.lit(True)))
-    out = joined.withColumn("_kept", kept)
-    new = [F.when(F.col("_boiler").isNull(), F.col("text")).otherwise(F.array_join("_kept", "\n")).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
+    kept = F.filter(lines, lambda x: F.coalesce(~F.array_contains(F.coalesce(F.col("__pathmill_boiler"), F.array().cast("array<struct<h:bigint,g:bigint>>")), _hash(x)), F.lit(True)))
+    out = joined.withColumn("__pathmill_kept", kept)
+    new = [F.when(F.col("__pathmill_boiler").isNull(), F.col("text")).otherwise(F.array_join("__pathmill_kept", "\n")).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
     n = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long")
-    return out.select(*new, n.alias("_lines"), (n - F.when(F.col("text").isNull(), 0).otherwise(F.size("_kept"))).cast("long").alias("_dropped"))
+    return out.select(*new, n.alias("__pathmill_lines"), (n - F.when(F.col("text").isNull(), 0).otherwise(F.size("__pathmill_kept"))).cast("long").alias("__pathmill_dropped"))
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = drop_boilerplate(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", F.col("_lines").alias("n_lines"), F.col("_dropped").alias("n_dropped"), F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars_left"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+    return out.select("doc_id", F.col("__pathmill_lines").alias("n_lines"), F.col("__pathmill_dropped").alias("n_dropped"), F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars_left"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
 OP5_SQL = f"""
