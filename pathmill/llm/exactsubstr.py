@@ -161,6 +161,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     per_row = materialize(found)
     all_fragments = per_row.select("rid", F.explode("found").alias("f")).select("rid", "f.*")
     names = all_fragments.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("name")
+    names = materialize(names)  # so that the join below is of two plain shuffles, and a hot name can be split
     several = materialize(all_fragments.join(names, "name", "left_semi"))
     bodies = several.groupBy("name", "body").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("rid", "start", "windows")).alias("one"))
     kinds = bodies.groupBy("name").agg(F.count(F.lit(1)).alias("bodies"))

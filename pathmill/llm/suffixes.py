@@ -74,26 +74,28 @@ def _induce_entries(s: np.ndarray, smaller: np.ndarray, lms: np.ndarray, sigma:
     n = len(s)
     count = np.bincount(s, minlength=sigma)
     ends = np.cumsum(count)
-    text, kind, sa = s.tolist(), smaller.tolist(), [-1] * n
+    before = [0, *s[:-1].tolist()]  # the symbol before each suffix, and whether that makes a larger or a smaller one
+    up = [False, *smaller[:-1].tolist()]
+    down = [False, *(~smaller[:-1]).tolist()]
+    sa = [0] * n  # 0 stands for an empty place: nothing is before the first suffix
     tail = (ends - 1).tolist()
-    for i in reversed(lms.tolist()):
-        c = text[i]
+    for i, c in zip(lms[::-1].tolist(), s[lms[::-1]].tolist(), strict=True):
         sa[tail[c]] = i
         tail[c] -= 1
     head = (ends - count).tolist()
-    for i in range(n):
-        j = sa[i] - 1
-        if j >= 0 and not kind[j]:
-            c = text[j]
-            sa[head[c]] = j
-            head[c] += 1
+    for i in sa:  # the list grows into the places that are read later
+        if down[i]:
+            c = before[i]
+            h = head[c]
+            sa[h] = i - 1
+            head[c] = h + 1
     tail = (ends - 1).tolist()
-    for i in range(n - 1, -1, -1):
-        j = sa[i] - 1
-        if j >= 0 and kind[j]:
-            c = text[j]
-            sa[tail[c]] = j
-            tail[c] -= 1
+    for i in reversed(sa):
+        if up[i]:
+            c = before[i]
+            h = tail[c]
+            sa[h] = i - 1
+            tail[c] = h - 1
     sa[0] = n - 1
     return np.array(sa, np.int64)
 
