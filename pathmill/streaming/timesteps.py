@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 def frequencies(events: DataFrame, name: str, time: str, interval: str = "1 day") -> DataFrame:
     """(name, start, freq): how often each name occurs in each period. Works on tables and on streams alike; a stream needs
     a watermark on ``time`` to end periods."""
-    period = F.window(F.col(time).cast("timestamp"), interval)
+    at = F.col(time)
+    if dict(events.dtypes)[time] != "timestamp":
+        at = at.cast("timestamp")  # a cast hides the watermark of a stream
+    period = F.window(at, interval)
     return events.groupBy(name, period.alias("_w")).agg(F.count(F.lit(1)).alias("freq")).select(name, F.col("_w.start").alias("start"), "freq")
 
 
