@@ -176,24 +176,5 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return rows.join(of_fp, F.col("fp") == F.col("_fp")).select("doc_id", hexed.alias("fingerprint"), "component_id")
 
 
-def _fingerprint_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            part = batch.slice(at, 256)
-            values = fingerprint_values(part.column(part.schema.get_field_index("text")).to_pylist())
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(values.view(np.int64))], names=[*part.schema.names, "__pathmill_fingerprint"])
-
-
-def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` without near-duplicates: of each component the row with the smallest doc_id stays, of repeated ids one row."""
-    numbered = docs.withColumn("__pathmill_row", F.monotonically_increasing_id())
-    rows = materialize(numbered.mapInArrow(_fingerprint_rows, numbered.withColumn("__pathmill_fingerprint", F.lit(0).cast("long")).schema))
-    short = rows.select(F.col("__pathmill_fingerprint").alias("fp"), "doc_id", "__pathmill_row")
-    named = materialize(components(short))
-    first = short.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__pathmill_row")).alias("first"))
-    kept = first.join(named, F.col("fp") == F.col("_fp")).groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.__pathmill_row").alias("__pathmill_kept"))
-    return rows.join(kept, F.col("__pathmill_row") == F.col("__pathmill_kept"), "left_semi").select(*docs.columns)
-
-
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
