@@ -3,9 +3,9 @@
 Every document is tokenised, ended with an id, and cut into pieces of at most one sequence; only its first piece may be
 shorter than a sequence, and that remainder is what is packed. Packing needs the lengths only, and there are at most
 1024 of them, so the packer works on the histogram of lengths: kinds of bins (the lengths a bin holds) with how many
-bins are of that kind. Best fit places the longest lengths first; the local search then exchanges one piece for one, two
-for one, or moves a piece between kinds of underfull bins, as long as the sum of squared fills grows, and drops bins that
-run empty. What the driver holds depends on the lengths' number, not on the documents'. Spark then numbers the pieces of
+bins are of that kind. Best fit places the longest lengths first; the local search then exchanges one or two pieces for
+one or two, or moves them between kinds of underfull bins, as long as the sum of squared fills grows, until nothing helps,
+and drops bins that run empty. What the driver holds depends on the lengths' number, not on the documents'. Spark then numbers the pieces of
 each length and gives each its place.
 
 Defined results: a null or empty text is one piece that holds only the end id; repeated rows are packed each; an empty
@@ -17,7 +17,7 @@ from __future__ import annotations
 import heapq
 import json
 import zlib
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -34,9 +34,6 @@ from pathmill.llm.common import materialize, number_within, table
 
 CAPACITY = 1024
 END_ID = 2
-#: Exchanges that the local search tries at most, a bound on the driver's time.
-SEARCH_STEPS = 20_000
-
 
 #: How the byte-level vocabulary cuts a text before it merges, in the pattern language of tiktoken.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -151,71 +148,107 @@ def best_fit(lengths: dict[int, int], capacity: int = CAPACITY) -> Counter:
     return done
 
 
-def _exchanges(a: Bin, b: Bin, capacity: int) -> Iterator[tuple[int, Bin, Bin]]:
-    """(gain in squared fill, new a, new b) of moves from b to a and of exchanges between them, ``a`` being the fuller."""
-    sum_a, sum_b = sum(a), sum(b)
-    room = capacity - sum_a
-
-    def made(out: Bin, into: Bin) -> tuple[int, Bin, Bin]:
-        delta = sum(into) - sum(out)
-        x, y = list(a), list(b)
-        for v in out:
-            x.remove(v)
-        for v in into:
-            y.remove(v)
-        return (sum_a + delta) ** 2 + (sum_b - delta) ** 2 - sum_a**2 - sum_b**2, tuple(sorted(x + list(into), reverse=True)), tuple(sorted(y + list(out), reverse=True))
-
-    distinct_a, distinct_b = sorted(set(a)), sorted(set(b))
-    for v in distinct_b:
-        if v <= room:
-            yield made((), (v,))
-        for u in distinct_a:
-            if 0 < v - u <= room:
-                yield made((u,), (v,))
-    for i, v in enumerate(distinct_b):
-        for w in distinct_b[i if b.count(v) > 1 else i + 1 :]:
-            for u in distinct_a:
-                if 0 < v + w - u <= room:
-                    yield made((u,), (v, w))
-
-
-def local_search(bins: Counter, capacity: int = CAPACITY, steps: int = SEARCH_STEPS) -> Counter:
-    """Exchanges between underfull bins that raise the sum of squared fills; bins that run empty go.
-
-    Kinds are taken from the emptiest; each is tried against the kinds with more fill, and a step is made for as many
-    bins as both kinds have. It ends when no exchange helps, when the bins are as few as their fill allows, or after
-    ``steps`` trials.
+class Kind:
+    """A kind of underfull bins: its fill, and what it can give up or take over in one exchange."""
+
+    def __init__(self, lengths: Bin):
+        self.lengths, self.fill = lengths, sum(lengths)
+        distinct = sorted(set(lengths))
+        self.moves = {v: (v,) for v in distinct}
+        for i, v in enumerate(distinct):
+            for w in distinct[i if lengths.count(v) > 1 else i + 1 :]:
+                self.moves.setdefault(v + w, (v, w))
+        self.sums = sorted(self.moves)
+        self.outs = [0, *self.sums]
+
+    def best_from(self, other: Kind, room: int) -> tuple[int, int, int]:
+        """(most length up to ``room`` that this kind can gain, length given, length taken from ``other``); zeros if none."""
+        best, sums = (0, 0, 0), other.sums
+        for u in self.outs:
+            i = bisect_right(sums, room + u)
+            if i and sums[i - 1] - u > best[0]:
+                best = (sums[i - 1] - u, u, sums[i - 1])
+                if best[0] == room:
+                    break
+        return best
+
+
+def swapped(kind: Bin, out: Bin, into: Bin) -> Bin:
+    left = list(kind)
+    for v in out:
+        left.remove(v)
+    return tuple(sorted(left + list(into), reverse=True))
+
+
+def local_search(bins: Counter, capacity: int = CAPACITY) -> Counter:
+    """Exchanges between underfull bins that raise the sum of squared fills, until none helps; bins that run empty go.
+
+    Kinds are taken from the emptiest and tried against the kinds with more fill; the exchange with the largest gain is
+    made for as many bins as both kinds have. A kind that found nothing is tried again only against kinds that came into
+    being since. Moving d from fill y to fill x gains 2 d (x - y + d), at most 2 (capacity - x) (capacity - y) as d is at
+    most x's room, so partners are tried by fill until that bound is under the best gain. It ends earlier only when the
+    bins are as few as their fill allows.
     """
     bins = Counter(bins)
-    total = sum(sum(k) * n for k, n in bins.items())
-    fewest = -(-total // capacity)
-    under = [(sum(k), k) for k in bins if sum(k) < capacity]
-    heapq.heapify(under)
-    tried = 0
-    while under and tried < steps and sum(bins.values()) > fewest:
-        fill, b = heapq.heappop(under)
-        if not bins.get(b):
+    number = sum(bins.values())
+    fewest = -(-sum(sum(k) * n for k, n in bins.items()) // capacity)
+    kinds: dict[Bin, Kind] = {}
+    ranked: list[tuple[int, Bin]] = []  # underfull kinds by fill
+    born: dict[Bin, int] = {}  # when a kind came into being, counted in exchanges
+    tried: dict[Bin, int] = {}  # when a kind was last tried against all that were there
+    made = 0
+
+    def enter(kind: Bin) -> None:
+        if (fill := sum(kind)) < capacity:
+            kinds[kind] = Kind(kind)
+            insort(ranked, (fill, kind))
+            born[kind] = made
+
+    for kind in bins:
+        enter(kind)
+    queue = list(ranked)
+    heapq.heapify(queue)
+    while number > fewest:
+        if not queue:
+            queue = [(fill, k) for fill, k in ranked if tried.get(k, -1) < made]
+            if not queue:
+                break
+        fill, b = heapq.heappop(queue)
+        if b not in kinds:
             continue
-        others = sorted((k for k in bins if fill <= sum(k) < capacity and (k != b or bins[b] > 1)), key=sum, reverse=True)
-        best = None
-        for a in others:
-            tried += 1
-            if found := max(_exchanges(a, b, capacity), default=None):
-                if found[0] > 0 and (best is None or found[0] > best[0][0]):
-                    best = (found, a)
-                if best and tried >= steps:
-                    break
+        since, own, best = tried.get(b, -1), kinds[b], None
+        for at in range(bisect_left(ranked, (fill, ())), len(ranked)):
+            more, a = ranked[at]
+            if best and 2 * (capacity - more) * (capacity - fill) <= best[0]:
+                break
+            if born[a] <= since or (a == b and bins[b] < 2):
+                continue
+            delta, out, into = kinds[a].best_from(own, capacity - more)
+            gain = 2 * delta * (more - fill + delta)
+            if delta and (best is None or gain > best[0]):
+                best = (gain, a, kinds[a].moves[out] if out else (), own.moves[into])
         if not best:
+            tried[b] = made
             continue
-        (_, new_a, new_b), a = best
+        _, a, out, into = best
+        made += 1
         n = bins[b] // 2 if a == b else min(bins[a], bins[b])
+        new_a, new_b = swapped(a, out, into), swapped(b, into, out)
         for kind, change in ((a, -n), (b, -n), (new_a, n), (new_b, n)):
-            if kind:
-                bins[kind] += change
-                if bins[kind] > 0 and sum(kind) < capacity:
-                    heapq.heappush(under, (sum(kind), kind))
-        bins = +bins
-    return bins
+            if not kind:
+                number -= n
+                continue
+            bins[kind] += change
+            if bins[kind] > 0 and kind not in kinds:
+                enter(kind)
+            if bins[kind] > 0 and sum(kind) < capacity:
+                heapq.heappush(queue, (sum(kind), kind))
+        for kind in {a, b}:
+            if bins[kind] <= 0:
+                del bins[kind], kinds[kind], born[kind]
+                tried.pop(kind, None)
+                ranked.pop(bisect_left(ranked, (sum(kind), kind)))
+    return +bins
 
 
 def places(bins: Counter) -> list[tuple[int, int, int, int, int]]:
