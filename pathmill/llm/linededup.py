@@ -1,12 +1,14 @@
 """Line deduplication by site-relative frequency.
 
 Pages are grouped by host (``source``). For each host, the number of its pages that contain a line is divided by the
-number of its pages; a line over the boilerplate ratio goes from every page of that host. Lines are compared without
+number of its pages; a line over the boilerplate ratio goes from every page of that host. With ``copies_once`` the pages
+of equal text on a host count as one, so that copies of a page do not make its lines boilerplate; the pipeline counts so,
+op5 counts rows as its SQL does. Lines are compared without
 spaces and tabs at their ends; blank lines never count and always stay. A line must also stand on a few pages, so that
 hosts of one or two pages keep their text.
 
 Defined results: a null text stays null with no lines; an empty one stays empty; null hosts are one host; a line that a
-page repeats counts once for that page; repeated rows are pages of their own; a page may lose all its lines and is then
+page repeats counts once for that page; repeated rows are pages of their own, but for ``copies_once``; a page may lose all its lines and is then
 empty; an empty table gives an empty table; other columns pass through untouched.
 """
 
@@ -35,21 +37,31 @@ def _hash(line: Column) -> Column:
     return F.when(bare != "", F.struct(F.xxhash64(bare).alias("h"), F.xxhash64(bare, F.lit("second")).alias("g")))
 
 
-def boilerplate(docs: DataFrame, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def boilerplate(docs: DataFrame, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, copies_once: bool = False) -> DataFrame:
     """(site, lines): hashes of each host's boilerplate lines. A host has fewer than its mean lines a page / max_ratio."""
-    site = F.col("source").cast("string").alias("site")
-    pages = docs.groupBy(site).agg(F.count(F.lit(1)).alias("n"))
-    seen = docs.select(site, F.explode(F.array_distinct(F.transform(_lines(F.col("text").cast("string")), _hash))).alias("line")).where("line is not null")
-    counts = seen.groupBy("site", "line").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= min_pages)
+    site, text = F.col("source").cast("string"), F.col("text").cast("string")
+    parts = [site.isNull(), site, text.isNull(), text]
+    rows = docs.select(site.alias("site"), text.alias("text"), F.xxhash64(*parts).alias("h"), F.xxhash64(F.lit("second"), *parts).alias("g"))
+    if copies_once:
+        groups = materialize(rows.groupBy("site", "h", "g").agg(F.count(F.lit(1)).alias("copies")))
+        pages = groups.groupBy("site").agg(F.count(F.lit(1)).alias("n"))
+        # Of a text with c copies each row counts 1 / c, so that no text needs to be gathered; the sums are whole numbers.
+        weighed = rows.join(groups.where("copies > 1").select("h", "g", "copies"), ["h", "g"], "left")
+        weighed = weighed.select("site", "text", (F.lit(1.0) / F.coalesce("copies", F.lit(1))).alias("weight"))
+    else:
+        pages = rows.groupBy("site").agg(F.count(F.lit(1)).alias("n"))
+        weighed = rows.select("site", "text", F.lit(1).alias("weight"))
+    seen = weighed.select("site", "weight", F.explode(F.array_distinct(F.transform(_lines(F.col("text")), _hash))).alias("line")).where("line is not null")
+    counts = seen.groupBy("site", "line").agg(F.round(F.sum("weight")).cast("long").alias("pages")).where(F.col("pages") >= min_pages)
     n = pages.select(F.col("site").alias("__pathmill_site"), "n")
     over = counts.join(n, F.col("site").eqNullSafe(F.col("__pathmill_site"))).where(F.col("pages") > F.col("n") * max_ratio)
     return over.groupBy("site").agg(F.collect_list("line").alias("lines"))
 
 
-def drop_boilerplate(docs: DataFrame, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def drop_boilerplate(docs: DataFrame, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, copies_once: bool = False) -> DataFrame:
     """``docs`` with its boilerplate lines taken out of ``text``, and ``__pathmill_lines`` and ``__pathmill_dropped``: how many it had and lost."""
     spark = docs.sparkSession
-    found = materialize(boilerplate(docs, max_ratio, min_pages))
+    found = materialize(boilerplate(docs, max_ratio, min_pages, copies_once))
     total = found.agg(F.sum(F.size("lines"))).first()[0] or 0
     site = F.col("source").cast("string")
     if total * 32 <= BROADCAST_BYTES:
