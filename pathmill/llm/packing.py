@@ -51,7 +51,7 @@ def encoder(path: str) -> Callable[[str], np.ndarray]:
     """text -> ids by the vocabulary file at ``path``, without added special tokens.
 
     A byte-level vocabulary whose ids follow the order of its merges is run by tiktoken, which gives the same ids in a
-    third of the time; any other file by tokenizers itself.
+    third of the time, but for texts that it cannot cut; those and any other file are run by tokenizers itself.
     """
     spec = json.loads(Path(path).read_text())
     vocabulary, merges = spec["model"].get("vocab", {}), spec["model"].get("merges", [])
@@ -62,7 +62,20 @@ def encoder(path: str) -> Callable[[str], np.ndarray]:
         special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         ranks = {bytes(letters[c] for c in token): i for token, i in vocabulary.items() if token not in special}
         encoding = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
-        return lambda text: encoding.encode_to_numpy(text, allowed_special="all")
+
+        def encode(text: str) -> np.ndarray:
+            try:
+                return encoding.encode_to_numpy(text, allowed_special="all")
+            except ValueError:  # its regex gives up on runs of about a million white-space characters
+                return by_tokenizers(path)(text)
+
+        return encode
+    return by_tokenizers(path)
+
+
+@lru_cache(maxsize=2)
+def by_tokenizers(path: str) -> Callable[[str], np.ndarray]:
+    """``encoder`` by tokenizers itself, for any vocabulary file and any text."""
     tokenizer = Tokenizer.from_file(path)
     return lambda text: np.array(tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 

@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import pytest
+from tokenizers import Tokenizer
 
 from pathmill.llm import packing
 
@@ -30,3 +31,9 @@ def test_no_exchange_of_one_piece_is_left():
             for b in kinds:
                 if a != b and sum(a) >= sum(b):
                     assert not any(0 < v - u <= 100 - sum(a) for v in b for u in (0, *a))
+
+
+@pytest.mark.parametrize("text", [" " * 2_000_000, "\n" * 2_000_000, "a" + " \n" * 1_000_000 + "b"])
+def test_long_white_space_has_ids(text):
+    path = packing.vocabulary_path()
+    assert packing.encoder(path)(text).tolist() == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
