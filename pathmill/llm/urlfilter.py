@@ -2,7 +2,8 @@
 
 Per host the paths' segments form a tree. At each node, segments that hold under MIN_SHARE or MIN_PAGES of its pages are
 variable and become one wildcard; the remaining siblings, at most 1 / MIN_SHARE and the wildcard, are ordered by their
-share of bad labels, and neighbours whose shares do not differ by a two-proportion test are merged. Below MAX_DEPTH
+share of bad labels, and each is merged with those before it while its share differs, by a two-proportion test, neither
+from theirs together nor from the first one's; siblings without labels are a cluster of their own. Below MAX_DEPTH
 segments one wildcard stands for the rest. A template is rejected if its labelled purity (share of good labels, smoothed
 towards its host's, which is smoothed towards all pages') is under MIN_PURITY. Rules for hosts and path prefixes come
 first; the longest that fits wins.
@@ -53,6 +54,39 @@ def fitting_rule(host: Column, path: Column, rules: tuple = RULES) -> Column:
     return out
 
 
+def _apart(l1: Column, b1: Column, l2: Column, b2: Column) -> Column:
+    """Whether two shares of bad labels differ by a two-proportion test."""
+    pooled, gap = (b1 + b2) / (l1 + l2), b1 / l1 - b2 / l2
+    return gap * gap > MERGE_Z * MERGE_Z * pooled * (1 - pooled) * (1 / l1 + 1 / l2)
+
+
+def _clusters(siblings: Column) -> Column:
+    """Arrays of the segments of labelled siblings, given by their share of bad labels, that are merged.
+
+    A sibling starts a new cluster if it differs from the running one as a whole or from its first sibling, so that
+    small steps do not join ends that differ.
+    """
+    start = F.struct(
+        F.array().cast("array<array<string>>").alias("done"), F.array().cast("array<string>").alias("own"),
+        *[F.lit(0).cast("long").alias(c) for c in ("labelled", "bad", "first_labelled", "first_bad")],
+    )
+
+    def add(s: Column, x: Column) -> Column:
+        n, bad = x.labelled.cast("long"), x.bad.cast("long")
+        new = (F.size(s.own) == 0) | _apart(s.labelled, s.bad, n, bad) | _apart(s.first_labelled, s.first_bad, n, bad)
+        new = F.coalesce(new, F.lit(True))
+        return F.struct(
+            F.when(new & (F.size(s.own) > 0), F.concat(s.done, F.array(s.own))).otherwise(s.done).alias("done"),
+            F.when(new, F.array(x.fixed)).otherwise(F.concat(s.own, F.array(x.fixed))).alias("own"),
+            F.when(new, n).otherwise(s.labelled + n).alias("labelled"),
+            F.when(new, bad).otherwise(s.bad + bad).alias("bad"),
+            F.when(new, n).otherwise(s.first_labelled).alias("first_labelled"),
+            F.when(new, bad).otherwise(s.first_bad).alias("first_bad"),
+        )
+
+    return F.aggregate(siblings, start, add, lambda s: F.when(F.size(s.own) > 0, F.concat(s.done, F.array(s.own))).otherwise(s.done))
+
+
 def _grow(paths: DataFrame, depth: int) -> DataFrame:
     """Adds the template's name for the segment at ``depth`` to ``template``; rows with no such segment stay as they are."""
     seg = F.when(F.size("segments") > depth, F.element_at("segments", depth + 1))
@@ -64,18 +98,15 @@ def _grow(paths: DataFrame, depth: int) -> DataFrame:
     shared = children.join(totals, node).withColumn("fixed", F.when((F.col("n") >= MIN_SHARE * F.col("total")) & (F.col("n") >= MIN_PAGES), F.col("seg")))
     siblings = shared.groupBy(*node, "fixed").agg(*sums)  # at most 1 / MIN_SHARE + 1 for each node
     rate = (F.col("bad") + 1) / (F.col("labelled") + 2)
-    row = Window.partitionBy(*node).orderBy(rate, F.col("fixed").asc_nulls_first())
-    l1, b1 = F.lag("labelled").over(row), F.lag("bad").over(row)
-    l2, b2 = F.col("labelled"), F.col("bad")
-    pooled = (b1 + b2) / (l1 + l2)
-    apart = (b1 / l1 - b2 / l2) * (b1 / l1 - b2 / l2) > MERGE_Z * MERGE_Z * pooled * (1 - pooled) * (1 / l1 + 1 / l2)
-    breaks = F.when(l1.isNull() | (l1 == 0) | (l2 == 0), False).otherwise(apart)
-    marked = siblings.withColumn("break", breaks.cast("int")).withColumn("cluster", F.sum("break").over(row))
-    names = marked.groupBy(*node, "cluster").agg(
-        F.when(F.max(F.col("fixed").isNull()), F.lit("*")).otherwise(F.array_join(F.sort_array(F.collect_set(F.concat(F.lit("="), "fixed"))), "|")).alias("name"),
-        F.collect_list("fixed").alias("members"),
-        F.max(F.col("fixed").isNull()).alias("wild"),
-    )
+    sibling = F.struct(rate.alias("rate"), F.coalesce("fixed", F.lit("")).alias("order"), "fixed", "labelled", "bad")
+    rows = siblings.groupBy(*node).agg(F.sort_array(F.collect_list(sibling)).alias("all"))
+    unknown = F.filter("all", lambda x: x.labelled == 0)
+    rows = rows.withColumn("clusters", _clusters(F.filter("all", lambda x: x.labelled > 0))).withColumn("unknown", F.transform(unknown, lambda x: x.fixed))
+    groups = F.when(F.size("unknown") > 0, F.concat("clusters", F.array("unknown"))).otherwise(F.col("clusters"))
+    members, wild = F.filter("members", lambda x: x.isNotNull()), F.exists("members", lambda x: x.isNull())
+    names = rows.select(*node, F.explode(groups).alias("members")).select(*node, members.alias("members"), wild.alias("wild"))
+    own = F.array_join(F.sort_array(F.transform("members", lambda x: F.concat(F.lit("="), x))), "|")
+    names = names.withColumn("name", F.when(F.col("wild"), F.lit("*")).otherwise(own))
     names = materialize(names)
     members = names.select(*node, F.explode("members").alias("seg"), F.col("name").alias("own"))
     wild = names.where("wild").select(*node, F.col("name").alias("other"))
