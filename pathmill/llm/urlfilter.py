@@ -3,8 +3,8 @@
 Per host the paths' segments form a tree. At each node, segments that hold under MIN_SHARE or MIN_PAGES of its pages are
 variable and become one wildcard; the remaining siblings, at most 1 / MIN_SHARE and the wildcard, are ordered by their
 share of bad labels, and each is merged with those before it while its share differs, by a two-proportion test, neither
-from theirs together nor from the first one's; siblings without labels are a cluster of their own. Below MAX_DEPTH
-segments one wildcard stands for the rest. A template is rejected if its labelled purity (share of good labels, smoothed
+from theirs together nor from the first one's; siblings without labels are a cluster of their own. The tree grows as
+long as some node with MIN_PAGES pages has a further segment. A template is rejected if its labelled purity (share of good labels, smoothed
 towards its host's, which is smoothed towards all pages') is under MIN_PURITY. Rules for hosts and path prefixes come
 first; the longest that fits wins.
 
@@ -16,6 +16,8 @@ table; other columns are ignored.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -29,7 +31,6 @@ RULES = (
     ("com", "/fr/", "allow"),
     ("com", "/de/", "block"),
 )
-MAX_DEPTH = 4
 MIN_SHARE = 0.05
 MIN_PAGES = 3
 MERGE_Z = 1.96
@@ -115,6 +116,31 @@ def _grow(paths: DataFrame, depth: int) -> DataFrame:
     return named.withColumn("template", F.when(F.col("seg").isNull(), F.col("template")).otherwise(longer)).drop("seg", "own", "other")
 
 
+def _grown(paths: DataFrame) -> DataFrame:
+    """``paths`` with their whole templates.
+
+    A node of under MIN_PAGES pages has wildcards only, and one that a single path reaches has that path's segments only;
+    their paths are named to the end at once, so that a round is needed only where paths of a node may still differ.
+    """
+    node, named, depth = ["host", "template"], [], 0
+    while True:
+        size = F.size("segments")
+        rest = F.slice("segments", depth + 1, F.greatest(size - depth, F.lit(0)))
+        named.append(paths.where(size <= depth))
+        longer = paths.where(size > depth)
+        nodes = materialize(longer.groupBy(*node).agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("paths")).where(F.col("total") >= MIN_PAGES))
+        wide = nodes.where("paths > 1").select(*node)
+        single = nodes.where("paths = 1").select(*node, F.lit(True).alias("single"))
+        ends = longer.join(wide, node, "left_anti").join(single, node, "left")
+        tail = F.when(F.col("single"), F.array_join(F.transform(rest, lambda x: F.concat(F.lit("/="), x)), "")).otherwise(F.repeat(F.lit("/*"), size - depth))
+        named.append(ends.withColumn("template", F.concat("template", tail)).select(*paths.columns))
+        if wide.isEmpty():
+            break
+        paths = materialize(_grow(longer.join(wide, node, "left_semi"), depth).select(*paths.columns))
+        depth += 1
+    return reduce(DataFrame.unionByName, named)
+
+
 def templates(pages: DataFrame, labels: DataFrame) -> DataFrame:
     """(host, path, template, purity) for every distinct host and path of ``pages`` (page_id, host, path)."""
     bad = ((F.col("quality") == 0) | (F.col("toxic") > 0)).cast("int")
@@ -125,9 +151,7 @@ def templates(pages: DataFrame, labels: DataFrame) -> DataFrame:
     )
     segments = F.split(F.substr(F.col("path"), F.lit(2)), "/")
     paths = materialize(paths.withColumn("segments", F.when(F.col("path") == "", F.array().cast("array<string>")).otherwise(segments)).withColumn("template", F.lit("")))
-    for depth in range(MAX_DEPTH):
-        paths = _grow(paths, depth)
-    paths = paths.withColumn("template", F.when(F.size("segments") > MAX_DEPTH, F.concat("template", F.lit("/**"))).otherwise(F.col("template")))
+    paths = _grown(paths)
     paths = materialize(paths.drop("segments"))
     prior = paths.agg(((F.sum("labelled") - F.sum("bad") + 1) / (F.sum("labelled") + 2)).alias("prior"))
     per_host = paths.groupBy("host").agg(F.sum("labelled").alias("hl"), F.sum("bad").alias("hb")).crossJoin(F.broadcast(prior))  # one row

@@ -19,3 +19,11 @@ def test_small_steps_do_not_join_the_ends(spark):
     rows = [(i, f"http://h.net/{'abcde'[i % 5]}/{i}") for i in range(100)]
     got = judged(spark, rows, [(i, int(i // 5 >= (2, 6, 10, 14, 18)[i % 5]), 0) for i in range(100)])
     assert got[0]["template"] != got[4]["template"] and got[0]["verdict"] == "allow" and got[4]["verdict"] == "block"
+
+
+def test_split_at_the_sixth_segment(spark):
+    rows = [(i, f"http://h.net/2024/05/12/en/x/{'casino' if i % 2 else 'news'}/{i}") for i in range(200)] + [(1000 + i, "http://deep.net/" + "s/" * 300) for i in range(5)] + [(2000, "http://thin.net/a/b/c/d/e/f")]
+    got = judged(spark, rows, [(i, 1 - i % 2, 0) for i in range(0, 200) if i % 3])
+    assert [{got[i]["verdict"] for i in range(k, 200, 2)} for k in (0, 1)] == [{"allow"}, {"block"}]
+    assert got[0]["template"] == "/=2024/=05/=12/=en/=x/=news/*" and got[1]["template"] == "/=2024/=05/=12/=en/=x/=casino/*"
+    assert got[1000]["template"] == "/=s" * 300 + "/=" and got[2000]["template"] == "/*" * 6
