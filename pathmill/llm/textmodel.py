@@ -16,18 +16,23 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pathmill.llm.common import materialize
 from pathmill.llm.simhash import LOWER
 
 COLUMNS = 1 << 18
 #: The fit takes at most this many labelled rows.
-TRAIN_ROWS = 4000
+TRAIN_ROWS = 6000
 #: Columns that fewer rows of the sample have get no weight.
-MIN_ROWS = 6
+MIN_ROWS = 4
 #: Distinct words that a Python worker remembers; it starts afresh beyond them.
 KNOWN_WORDS = 400_000
 PAIR = np.uint64(0x9E3779B97F4A7C15)
 #: Values of a word's own column, of each of its n-grams and of a word pair.
 WORD, GRAM, TWO = 3.0, 0.5, 0.5
+#: All values are multiples of it.
+UNIT = 0.5
+#: Rows of the sample that are multiplied at a time.
+BLOCK_ROWS = 256
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -164,49 +169,76 @@ def repeated_words(at: np.ndarray, doc: np.ndarray, texts: int, window: int = 5)
 
 
 def _column_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts as bytes: columns as 32-bit integers, values as 16-bit multiples of UNIT, and their scale."""
     for batch in batches:
-        cols, counts, sizes = [], [], []
-        for text in batch.column("text").to_pylist():
-            c, n = text_columns(text)
-            cols.append(c.astype(np.int32))
-            counts.append(n.astype(np.float32))
-            sizes.append(len(c))
-        offsets = pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32))
-        flat = [np.concatenate(x) if x else np.zeros(0, k) for x, k in ((cols, np.int32), (counts, np.float32))]
-        arrays = [batch.column(c) for c in batch.schema.names if c != "text"] + [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in flat]
-        yield pa.RecordBatch.from_arrays(arrays, names=[c for c in batch.schema.names if c != "text"] + ["cols", "counts"])
+        for at in range(0, batch.num_rows, 64):
+            part = batch.slice(at, 64)
+            texts = part.column("text").to_pylist()
+            found = [text_columns(text) for text in texts]
+            n_words = [len(t.encode("utf-8", "surrogatepass").split()) if t else 0 for t in texts]
+            # Sums beyond 16 bits, of texts with very many words of one n-gram, are held in coarser steps.
+            scales = [UNIT * float(scale(n)) for n in n_words]
+            scales = [s * max(1.0, v.max(initial=0.0) / s / 65535) for (_, v), s in zip(found, scales, strict=True)]
+            cols = [c.astype("<u4").tobytes() for c, _ in found]
+            counts = [np.rint(v / s).astype("<u2").tobytes() for (_, v), s in zip(found, scales, strict=True)]
+            names = [c for c in part.schema.names if c != "text"]
+            arrays = [*(part.column(c) for c in names), pa.array(cols, pa.binary()), pa.array(counts, pa.binary()), pa.array(scales, pa.float64())]
+            yield pa.RecordBatch.from_arrays(arrays, names=[*names, "cols", "counts", "scale"])
 
 
 class Sample:
-    """Rows of the bounded sample in compressed-row form, with their targets."""
+    """Rows of the bounded sample, with their targets.
+
+    Features are held as 32-bit columns and 16-bit counts, six bytes each, in the order of the rows; products go through
+    them BLOCK_ROWS rows at a time, so that no array of the sample's size is made beside them.
+    """
 
     def __init__(self, docs: DataFrame, labels: DataFrame, targets: list[str], rows: int = TRAIN_ROWS):
         drawn = labels.where(" AND ".join(f"{t} IS NOT NULL" for t in ["doc_id", *targets])).groupBy("doc_id").agg(*[F.min(t).cast("double").alias(t) for t in targets])
         drawn = drawn.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)  # a bounded sample, so that it may be broadcast
         texts = docs.select(F.col("doc_id").alias("_id"), F.col("text").cast("string").alias("text"))
         joined = texts.join(F.broadcast(drawn), F.col("_id") == F.col("doc_id")).select(F.xxhash64("doc_id").alias("at"), *targets, "text")
-        kinds = ", ".join(["at long", *(f"{t} double" for t in targets), "cols array<int>, counts array<float>"])
-        found = joined.mapInArrow(_column_batches, kinds).toArrow()
-        if found.num_rows:
-            found = found.sort_by([("at", "ascending"), *((t, "ascending") for t in targets)]).combine_chunks()
-        self.n = found.num_rows
-        self.order = found.column("at").to_numpy()
-        self.y = {t: found.column(t).to_numpy() for t in targets}
-        lists = [found.column(c).combine_chunks() if self.n else None for c in ("cols", "counts")]
-        cols = lists[0].flatten().to_numpy() if self.n else np.zeros(0, np.int32)
-        sizes = np.asarray(lists[0].value_lengths()) if self.n else np.zeros(0, int)
-        values = lists[1].flatten().to_numpy() if self.n else np.zeros(0, np.float32)
-        often = np.bincount(cols, minlength=COLUMNS) >= MIN_ROWS
+        kinds = ", ".join(["at long", *(f"{t} double" for t in targets), "cols binary, counts binary, scale double"])
+        held = materialize(joined.mapInArrow(_column_batches, kinds))
+        found = sorted(((r["at"], *(r[t] for t in targets), bytes(r["cols"]), bytes(r["counts"]), r["scale"]) for r in held.toLocalIterator()), key=lambda r: r[: 1 + len(targets)])
+        self.n = len(found)
+        self.order = np.array([r[0] for r in found], np.int64)
+        self.y = {t: np.array([r[1 + k] for r in found], float) for k, t in enumerate(targets)}
+        self.scale = np.array([r[-1] for r in found], float)
+        rows_of = np.zeros(COLUMNS, np.int32)
+        for r in found:
+            rows_of[np.frombuffer(r[-3], "<u4")] += 1
+        often = rows_of >= MIN_ROWS
         self.active = np.flatnonzero(often)
         number = (np.cumsum(often) - 1).astype(np.int32)
-        kept = often[cols]
-        self.row, self.cols, self.values = np.repeat(np.arange(self.n, dtype=np.int32), sizes)[kept], number[cols[kept]], values[kept]
+        total = int(rows_of[often].sum(dtype=np.int64))
+        self.cols, self.counts = np.zeros(total, np.int32), np.zeros(total, np.uint16)
+        self.start = np.zeros(self.n + 1, np.int64)
+        for i in range(self.n):
+            cols, counts = np.frombuffer(found[i][-3], "<u4"), np.frombuffer(found[i][-2], "<u2")
+            found[i] = None
+            kept = often[cols]
+            at = self.start[i]
+            end = self.start[i + 1] = at + np.count_nonzero(kept)
+            self.cols[at:end], self.counts[at:end] = number[cols[kept]], counts[kept]
+
+    def _blocks(self) -> Iterator[tuple[int, int, slice, np.ndarray]]:
+        """(first row, last row, their features, the row of each within the block)."""
+        for a in range(0, self.n, BLOCK_ROWS):
+            b = min(a + BLOCK_ROWS, self.n)
+            yield a, b, slice(self.start[a], self.start[b]), np.repeat(np.arange(b - a), np.diff(self.start[a : b + 1]))
 
     def dot(self, w: np.ndarray) -> np.ndarray:
-        return np.bincount(self.row, weights=w[self.cols] * self.values, minlength=self.n)
+        out = np.zeros(self.n)
+        for a, b, part, row in self._blocks():
+            out[a:b] = np.bincount(row, weights=w[self.cols[part]] * self.counts[part], minlength=b - a)
+        return out * self.scale
 
     def back(self, g: np.ndarray) -> np.ndarray:
-        return np.bincount(self.cols, weights=g[self.row] * self.values, minlength=len(self.active))
+        out, g = np.zeros(len(self.active)), g * self.scale
+        for a, b, part, row in self._blocks():
+            out += np.bincount(self.cols[part], weights=g[a:b][row] * self.counts[part], minlength=len(self.active))
+        return out
 
     def spread(self, w: np.ndarray) -> np.ndarray:
         """Weights of the active columns as weights of all columns."""
@@ -215,7 +247,7 @@ class Sample:
         return out
 
 
-def minimize(f: Callable[[np.ndarray], tuple[float, np.ndarray]], x: np.ndarray, rounds: int = 30, memory: int = 8) -> np.ndarray:
+def minimize(f: Callable[[np.ndarray], tuple[float, np.ndarray]], x: np.ndarray, rounds: int = 40, memory: int = 8) -> np.ndarray:
     """Limited-memory BFGS with backtracking."""
     value, g = f(x)
     past: list[tuple[np.ndarray, np.ndarray, float]] = []
