@@ -10,7 +10,7 @@ Of retrieved items, five-word shingles of the question (all sentences but the la
 found in the document: at least 0.8 of both, or 0.8 of all. Terms are the words between white space, lower-cased,
 without marks.
 
-The index goes to the executors in parts of at most INDEX_BYTES of items, each with its own pass over the documents; its
+The index goes to the executors in parts of at most INDEX_BYTES of built index, each with its own pass over the documents; its
 size does not follow the corpus. Defined results: null or empty texts and items without a term match nothing; of items
 with the same id each is held for itself and the pair is returned once for each; repeated documents are searched each;
 empty tables give an empty table; other columns are ignored.
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathmill.llm.common import table
+from pathmill.llm.common import materialize, table
 
 K1, B = 1.2, 0.75
 SEGMENT_WORDS = 48
@@ -38,7 +38,11 @@ MIN_OVERLAP = 0.8
 BLOCK = 4
 #: What the terms before the pivot may add to a segment's score at most.
 PIVOT_SCORE = 0.3
-INDEX_BYTES = 8 << 20
+#: A part of the index takes at most this much, unless one item is larger; a word of an item takes at most WORD_BYTES and its text.
+INDEX_BYTES = 64 << 20
+WORD_BYTES = 160
+#: Bounds of passages and blocks that are held at a time.
+BOUND_CELLS = 1 << 20
 KNOWN_WORDS = 400_000
 SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -86,6 +90,36 @@ def shingle_hashes(numbers: np.ndarray, width: int) -> np.ndarray:
     return np.where(whole, out, np.uint64(0))
 
 
+class Impacts:
+    """Sparse impacts: a row for each term of a block, with the impacts of the block's segments, in the order of blocks."""
+
+    def __init__(self, term: np.ndarray, segment: np.ndarray, impact: np.ndarray, blocks: int):
+        key, at = np.unique(segment.astype(np.int64) // BLOCK << 32 | term, return_inverse=True)
+        self.block, self.term = (key >> 32).astype(np.int32), (key & 0xFFFFFFFF).astype(np.int32)
+        self.rows = np.zeros((len(key), BLOCK), np.float32)
+        self.rows[at, segment % BLOCK] = impact
+        self.start = np.searchsorted(self.block, np.arange(blocks + 1))
+
+    def __len__(self) -> int:
+        return len(self.start) - 1
+
+    def scores(self, block: int, terms: np.ndarray) -> np.ndarray:
+        """Scores of the block's segments for sorted distinct ``terms``."""
+        part = slice(self.start[block], self.start[block + 1])
+        own = self.term[part]
+        place = np.minimum(np.searchsorted(terms, own), len(terms) - 1)
+        return self.rows[part][terms[place] == own].sum(axis=0)
+
+    def __getitem__(self, at: tuple[slice, np.ndarray]) -> np.ndarray:
+        """The dense impacts of some blocks (a slice) for distinct terms: blocks x terms x segments."""
+        terms = np.atleast_1d(at[1])
+        out = np.zeros((len(self), len(terms), BLOCK), np.float32)
+        for k, t in enumerate(terms):
+            rows = self.term == t
+            out[self.block[rows], k] = self.rows[rows]
+        return out[at[0]]
+
+
 class Index:
     """Impacts by term and block, and what verification needs of each item."""
 
@@ -105,34 +139,40 @@ class Index:
         n, df = len(segments), Counter(t for _, c in segments for t in c)
         mean = sum(sum(c.values()) for _, c in segments) / max(1, n)
         blocks = -(-n // BLOCK)
-        self.impacts = np.zeros((blocks, len(self.vocabulary) + 1, BLOCK), np.float32)
+        at_term, at_segment, impact = [], [], []
         for s, (_, counts) in enumerate(segments):
             length = sum(counts.values())
             own = {t: np.log1p((n - df[t] + 0.5) / (df[t] + 0.5)) * c * (K1 + 1) / (c + K1 * (1 - B + B * length / mean)) for t, c in counts.items()}
             total = sum(own.values())
-            for t, v in own.items():
-                self.impacts[s // BLOCK, t, s % BLOCK] = v / total
+            at_term.append(np.fromiter(own, np.int32, len(own)))
+            at_segment.append(np.full(len(own), s, np.int32))
+            impact.append(np.fromiter((v / total for v in own.values()), np.float32, len(own)))
+        joined = [np.concatenate(x) if x else np.zeros(0, kind) for x, kind in ((at_term, np.int32), (at_segment, np.int32), (impact, np.float32))]
+        self.impacts = Impacts(*joined, blocks)
         self._order(df)
         self.checks = [(i, [(w, n, np.unique(shingle_hashes(p, w))) for w, n, p in parts]) for i, parts in self.items]
+        del self.items
 
     def _order(self, df: Counter) -> None:
         """Splits the terms at the pivot: the most frequent ones, as long as they cannot lift any segment over PIVOT_SCORE
         together, only count as a rest; the others have postings with a block's number and its largest impact."""
-        size, blocks = len(self.vocabulary), len(self.impacts)
+        size, blocks, held = len(self.vocabulary), len(self.impacts), self.impacts
+        by_term = np.argsort(held.term, kind="stable")
+        start = np.searchsorted(held.term[by_term], np.arange(size + 1))
         rest = np.zeros((blocks, BLOCK), np.float32)
-        frequent = set()
+        late = np.ones(size, bool)
         for t in sorted(df, key=lambda t: (-df[t], t)):
-            more = rest + self.impacts[:, t]
+            rows = by_term[start[t] : start[t + 1]]
+            more = rest[held.block[rows]] + held.rows[rows]
             if more.max(initial=0) > PIVOT_SCORE:
                 break
-            rest = more
-            frequent.add(t)
+            rest[held.block[rows]] = more
+            late[t] = False
         self.rest = rest.max(axis=1)
-        at_term, at_block = np.nonzero(self.impacts[:, :size].max(axis=2).T) if blocks else (np.zeros(0, int), np.zeros(0, int))
-        kept = ~np.isin(at_term, list(frequent))
-        at_term, self.posting_block = at_term[kept], at_block[kept]
-        self.posting_bound = self.impacts[self.posting_block, at_term].max(axis=1) if blocks else np.zeros(0)
-        self.posting_count = np.bincount(at_term, minlength=size)
+        by_term = by_term[late[held.term[by_term]]]
+        self.posting_block = held.block[by_term]
+        self.posting_bound = held.rows[by_term].max(axis=1)
+        self.posting_count = np.bincount(held.term[by_term], minlength=size)
         self.posting_start = np.cumsum(self.posting_count) - self.posting_count
 
     def retrieve(self, numbers: np.ndarray) -> dict[int, float]:
@@ -142,26 +182,33 @@ class Index:
         if not len(known) or not blocks:
             return {}
         ids, cell = numbers[known], known // STRIDE  # a passage is two neighbouring cells
+        out: dict[int, float] = {}
+        step = max(1, BOUND_CELLS // blocks)
+        for first in range(0, int(cell[-1]) + 1, step):
+            a, b = np.searchsorted(cell, [first, first + step + 1])
+            if a < b:
+                self._retrieve(ids[a:b], cell[a:b] - first, step, out)
+        return out
+
+    def _retrieve(self, ids: np.ndarray, cell: np.ndarray, passages: int, out: dict[int, float]) -> None:
+        """Adds to ``out`` what the passages that start in cells 0 to ``passages`` - 1 retrieve."""
+        blocks, passages = len(self.impacts), min(passages, int(cell[-1]) + 1)
         n = self.posting_count[ids]
         posting = np.repeat(self.posting_start[ids] - np.cumsum(n) + n, n) + np.arange(n.sum())
         key = np.repeat(cell, n) * blocks + self.posting_block[posting]
-        bound = np.bincount(key, weights=self.posting_bound[posting], minlength=(cell[-1] + 2) * blocks).astype(float).reshape(-1, blocks)
+        bound = np.bincount(key, weights=self.posting_bound[posting], minlength=(passages + 1) * blocks).astype(float).reshape(-1, blocks)
         bound[:-1] += bound[1:]  # repeated terms count twice here, so it stays an upper bound
-        bound += self.rest
-        out: dict[int, float] = {}
-        hits = np.argwhere(bound >= MIN_SCORE - 1e-4)
-        if not len(hits):
-            return out
-        at = np.searchsorted(cell, np.arange(cell[-1] + 3))
+        bound = bound[:passages] + self.rest
         last, mine = -1, ids
-        for p, b in hits:
+        for p, b in np.argwhere(bound >= MIN_SCORE - 1e-4):
             if p != last:
-                last, mine = p, np.unique(ids[at[p] : at[min(p + 2, cell[-1] + 1)]])
-            scores = self.impacts[b, mine].sum(axis=0)
+                last, mine = p, np.unique(ids[np.searchsorted(cell, p) : np.searchsorted(cell, p + 2)])
+            if not len(mine):
+                continue
+            scores = self.impacts.scores(b, mine)
             for s in np.flatnonzero(scores >= MIN_SCORE - 1e-4):
                 item = int(self.of_segment[b * BLOCK + s])
                 out[item] = max(out.get(item, 0.0), float(scores[s]))
-        return out
 
     def verify(self, numbers: np.ndarray, found: dict[int, float]) -> list[tuple[object, float, float, float]]:
         """(item id, score, question overlap, answer overlap) of the retrieved items that the document holds."""
@@ -187,16 +234,19 @@ class Index:
         return self.verify(numbers, found) if found else []
 
 
-def indexes(items: DataFrame) -> list[Index]:
-    """The test items as indexes of at most INDEX_BYTES of text each; read part by part."""
-    rows, size, out = [], 0, []
+def indexes(items: DataFrame) -> Iterator[Index]:
+    """The test items as indexes of at most INDEX_BYTES each, read and built one after the other."""
+    rows, size, any_yet = [], 0, False
     for r in items.select("item_id", F.col("text").cast("string").alias("text")).orderBy("item_id", "text").toLocalIterator():
+        text = r["text"] or ""
+        more = len(text.encode("utf-8", "surrogatepass")) + WORD_BYTES * (len(text.split()) + 4)
+        if rows and size + more > INDEX_BYTES:
+            yield Index(rows)
+            rows, size, any_yet = [], 0, True
         rows.append((r["item_id"], r["text"]))
-        size += len(r["text"] or "")
-        if size >= INDEX_BYTES:
-            out.append(Index(rows))
-            rows, size = [], 0
-    return [*out, Index(rows)] if rows or not out else out
+        size += more
+    if rows or not any_yet:
+        yield Index(rows)
 
 
 def find_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -205,7 +255,7 @@ def find_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     kinds = [texts.schema["doc_id"].dataType.simpleString(), items.schema["item_id"].dataType.simpleString()]
     out = None
     for index in indexes(items):
-        shared = docs.sparkSession.sparkContext.broadcast(index)  # at most INDEX_BYTES of items
+        shared = docs.sparkSession.sparkContext.broadcast(index)  # at most INDEX_BYTES; the driver holds one part
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = shared.value
             known = Numbers(index.vocabulary)
@@ -226,7 +276,9 @@ def find_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def drop_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of ``docs`` that hold no test item, with their columns as they are."""
-    for index in indexes(items):
+    for k, index in enumerate(indexes(items)):
+        if k:
+            docs = materialize(docs)  # so that a task holds one part
         shared = docs.sparkSession.sparkContext.broadcast(index)
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = shared.value
