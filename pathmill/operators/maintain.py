@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pathmill.functions.expressions import Condition, conjunction
+from pathmill.plans.model import Model
+from pathmill.plans.store import ViewStore
 
 
 def insert(df: DataFrame, rows: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -27,6 +29,34 @@ def update(df: DataFrame, settings: dict[str, object], conditions: Iterable[Cond
     return df.select(*[F.when(fits, F.lit(settings[c]).cast(kinds[c])).otherwise(F.col(c)).alias(c) if c in settings else F.col(c) for c in df.columns])
 
 
+def update_over(df: DataFrame, settings: dict[str, object], reached: DataFrame, keys: list[str]) -> DataFrame:
+    """Sets columns of the rows whose keys are among those of ``reached``: an update over a path."""
+    kinds = dict(df.dtypes)
+    hit = df.join(reached.select(*keys).distinct().withColumn("_reached", F.lit(True)), keys, "left")
+    fits = F.col("_reached").isNotNull()
+    return hit.select(*[F.when(fits, F.lit(settings[c]).cast(kinds[c])).otherwise(F.col(c)).alias(c) if c in settings else F.col(c) for c in df.columns])
+
+
+def insert_connected(model: Model, tables: dict[str, DataFrame], entity: str, row: dict[str, object], connections: dict[str, object]) -> dict[str, DataFrame]:
+    """The tables with a new row of ``entity`` that is connected over foreign keys, named with the key of the row at the
+    other end. A key that the entity holds is set in the new row; one that the other entity holds is set there."""
+    row, changed = dict(row), dict(tables)
+    for edge, target in connections.items():
+        fk = model.edges[edge]
+        if fk.entity == entity:
+            row |= dict(zip(fk.columns, target if isinstance(target, tuple) else (target,), strict=True))
+        elif fk.target == entity:
+            own = {c: row[k] for c, k in zip(fk.columns, fk.target_columns, strict=True)}
+            at = target if isinstance(target, tuple) else (target,)
+            changed[fk.entity] = update(changed[fk.entity], own, [(k, "=", v) for k, v in zip(model.keys[fk.entity], at, strict=True)])
+        else:
+            raise ValueError(f"{edge} does not touch {entity}")
+    held = tables[entity]
+    new = held.sparkSession.range(1).select(*[F.lit(row.get(f.name)).cast(f.dataType).alias(f.name) for f in held.schema.fields])
+    changed[entity] = insert(changed[entity], new, list(model.keys[entity]))
+    return changed
+
+
 def delete(df: DataFrame, conditions: Iterable[Condition] = ()) -> DataFrame:
     return df.where(~F.coalesce(conjunction(conditions), F.lit(False)))
 
@@ -53,3 +83,21 @@ def refresh(view: DataFrame, affected: DataFrame, keys: list[str], define: Calla
     """
     touched = affected.select(*keys).distinct()
     return view.join(touched, keys, "left_anti").unionByName(define(touched).select(*view.columns))
+
+
+def carry_over(store: ViewStore, columns: Iterable[str], changes: dict[str, tuple[DataFrame, DataFrame]]) -> list[str]:
+    """Brings stored views up to date after a statement that set ``columns``, and names those that it touches.
+
+    ``changes`` has for each view its rows of the changed rows before and after the statement. Old rows are deleted only
+    where a key changes; elsewhere the new ones take their place.
+    """
+    touched = []
+    for name, (before, after) in changes.items():
+        view = store.view(name)
+        if not view.touched_by(columns):
+            continue
+        touched.append(name)
+        if view.moved_by(columns):
+            store.delete(name, before.select(*view.keys))
+        store.upsert(name, after)
+    return touched

@@ -46,13 +46,15 @@ class Model:
         raise ValueError(f"{edge} does not touch {entity}")
 
 
-def statistics(tables: dict[str, DataFrame]) -> DataFrame:
-    """(entity, column, rows, distinct_values, mean_bytes) of every column: what sizes of views are judged from."""
+def statistics(tables: dict[str, DataFrame], exact: bool = False) -> DataFrame:
+    """(entity, column, rows, distinct_values, mean_bytes) of every column: what sizes of views are judged from. Distinct
+    values are estimated in one pass unless ``exact``."""
+    distinct = F.count_distinct if exact else F.approx_count_distinct
     out = None
     for name, df in tables.items():
         sums = [F.count(F.lit(1)).alias("rows")]
         for c in df.columns:
-            sums += [F.approx_count_distinct(c).alias(f"d_{c}"), F.avg(F.octet_length(F.col(c).cast("string"))).alias(f"b_{c}")]
+            sums += [distinct(F.col(c)).alias(f"d_{c}"), F.avg(F.octet_length(F.col(c).cast("string"))).alias(f"b_{c}")]
         one = df.agg(*sums)
         entries = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"d_{c}").alias("distinct_values"), F.col(f"b_{c}").alias("mean_bytes")) for c in df.columns])
         part = one.select(F.lit(name).alias("entity"), "rows", F.explode(entries).alias("e")).select("entity", "e.column", "rows", "e.distinct_values", "e.mean_bytes")

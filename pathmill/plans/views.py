@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pathmill.sources.storage import shared_path
@@ -57,19 +58,33 @@ class View:
         out = df.select(*self.keys, *self.extra)
         return out.distinct() if self.distinct else out
 
+    def merged(self, rows: DataFrame) -> DataFrame:
+        """Rows of the view from several sources as one: partial results are added up."""
+        if self.aggregated:
+            return coarser(rows, self, list(self.keys))
+        return rows.distinct() if self.distinct else rows
+
+    def touched_by(self, columns: Iterable[str]) -> bool:
+        """Whether a statement that sets ``columns`` changes the view."""
+        return bool(set(columns) & {*self.keys, *self.extra, *self.sums, *self.counts, *self.maxima})
+
+    def moved_by(self, columns: Iterable[str]) -> bool:
+        """Whether such a statement changes keys, so that the rows under the old keys must be deleted."""
+        return bool(set(columns) & set(self.keys))
+
     def materialize(self, df: DataFrame) -> DataFrame:
-        """Stores the view and returns a reader of it. Rows are placed by ``hash_by`` and sorted, so that row groups hold
-        narrow ranges of the keys and scans with a condition on them skip the others."""
+        """Stores the view under a new path and returns a reader of it. Rows are placed in ranges of the keys and sorted, so
+        that row groups hold narrow ranges, scans with a condition on the keys skip the others, and a hot key is shared."""
         path = shared_path(df.sparkSession, f"views/{self.name}-{self.identity}")
         rows = self.rows(df)
-        rows.repartition(*self.hash_by).sortWithinPartitions(*self.keys).write.mode("overwrite").parquet(path)
+        rows.repartitionByRange(*self.keys).sortWithinPartitions(*self.keys).write.mode("overwrite").parquet(path)
         return df.sparkSession.read.schema(rows.schema).parquet(path)
 
     def save_bucketed(self, df: DataFrame, buckets: int, table: str | None = None) -> DataFrame:
-        """Stores the view as a bucketed table: joins of two such views on ``hash_by`` need no shuffle."""
-        rows = self.rows(df)
-        rows.write.mode("overwrite").bucketBy(buckets, *self.hash_by).sortBy(*self.keys).saveAsTable(table or self.name)
-        return df.sparkSession.table(table or self.name)
+        """Stores the view as a bucketed table in shared storage: joins of two such views on ``hash_by`` need no shuffle."""
+        rows, spark = self.rows(df), df.sparkSession
+        rows.write.mode("overwrite").option("path", shared_path(spark, f"tables/{self.name}")).bucketBy(buckets, *self.hash_by).sortBy(*self.keys).saveAsTable(table or self.name)
+        return spark.table(table or self.name)
 
 
 def coarser(stored: DataFrame, view: View, keys: list[str], averages: tuple[str, ...] = ()) -> DataFrame:
@@ -79,7 +94,3 @@ def coarser(stored: DataFrame, view: View, keys: list[str], averages: tuple[str,
     parts = [F.sum(f"sum_{c}").alias(f"sum_{c}") for c in view.sums] + [F.sum(f"count_{c}").alias(f"count_{c}") for c in view.counts] + [F.max(f"max_{c}").alias(f"max_{c}") for c in view.maxima]
     parts += [(F.sum(f"sum_{c}") / F.sum(f"count_{c}")).alias(f"avg_{c}") for c in averages]
     return stored.groupBy(*keys).agg(*parts)
-
-
-def drop_view(spark: SparkSession, table: str) -> None:
-    spark.sql(f"DROP TABLE IF EXISTS {table}")
