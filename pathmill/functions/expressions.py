@@ -32,7 +32,12 @@ def keep(df: DataFrame, conditions: Iterable[Condition]) -> DataFrame:
 
 
 def aggregate_column(function: str, column: str, digits: int | None = None) -> Column:
-    """``sum``, ``count``, ``avg`` or ``max`` of a column, named ``<function>_<column>``; ``digits`` rounds it."""
+    """``sum``, ``count``, ``avg`` or ``max`` of a column, named ``<function>_<column>``; ``digits`` rounds it.
+
+    Nulls do not count and do not lower averages; the count of ``*``, named ``count_rows``, is the size of the group.
+    """
+    if (function, column) == ("count", "*"):
+        return F.count(F.lit(1)).alias("count_rows")
     out = {"sum": F.sum, "count": F.count, "avg": F.avg, "max": F.max}[function](column)
     return (out if digits is None else F.round(out, digits)).alias(f"{function}_{column}")
 
@@ -42,6 +47,14 @@ def row_hash(columns: Iterable[str]) -> Column:
     return F.crc32(F.concat_ws(",", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in sorted(columns)]).cast("binary"))
 
 
+def rest_map(df: DataFrame, named: Iterable[str]) -> DataFrame:
+    """The named columns, and ``rest``: a map of all other columns' names to their values as text, without nulls."""
+    named = list(named)
+    others = [c for c in df.columns if c not in named]
+    pairs = F.filter(F.array(*[F.struct(F.lit(c).alias("key"), F.col(f"`{c}`").cast("string").alias("value")) for c in others]), lambda x: x["value"].isNotNull())
+    return df.select(*named, F.map_from_entries(pairs).alias("rest"))
+
+
 def without_empty_rows(df: DataFrame) -> DataFrame:
     """Rows of which at least one column has a value."""
     return df.na.drop(how="all")

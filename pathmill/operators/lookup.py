@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 16 << 20
 
 
-def measured_broadcast(df: DataFrame, rows_at_most: int = 100_000) -> DataFrame:
-    """``df`` marked for broadcast if it has few rows; the count stops at the bound."""
-    return F.broadcast(df) if df.limit(rows_at_most + 1).count() <= rows_at_most else df
+def measured_broadcast(df: DataFrame, rows_at_most: int = 100_000, bytes_at_most: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` marked for broadcast if it has few rows and few bytes (as text); counting stops at the bound of rows."""
+    width = F.octet_length(F.concat_ws(",", *[F.col(f"`{c}`").cast("string") for c in df.columns])) + 8 * len(df.columns)
+    rows, size = df.limit(rows_at_most + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0))).first()
+    return F.broadcast(df) if rows <= rows_at_most and size <= bytes_at_most else df
 
 
 def lookup(rows: DataFrame, view: DataFrame, keys: list[str], columns: list[str] | None = None) -> DataFrame:

@@ -28,11 +28,23 @@ def jdbc_table(spark: SparkSession, url: str, table: str, key: str | None = None
     return reader.load()
 
 
+def write_jdbc(df: DataFrame, url: str, table: str, **options: str) -> None:
+    df.write.format("jdbc").option("url", url).option("dbtable", table).options(**options).mode("overwrite").save()
+
+
+#: Modulus and multiplier of the generated values, a prime and a primitive root of it.
+MODULUS, FACTOR = 2**31 - 1, 48271
+
+
 def random_rows(spark: SparkSession, schema: T.StructType, rows: int, seed: int = 42, distinct_values: int = 10) -> DataFrame:
-    """Generated rows: the first column counts up, the others hold seeded values of their type."""
+    """Generated rows: the first column counts up, the others hold seeded values of their type.
+
+    A value's number is (((id + 1) FACTOR + 7919 seed + 104729 place) mod MODULUS) squared mod MODULUS, by the number of values.
+    """
     out = [F.col("id").cast(schema.fields[0].dataType).alias(schema.fields[0].name)]
     for i, f in enumerate(schema.fields[1:], 1):
-        pick = F.pmod(F.xxhash64("id", F.lit(seed), F.lit(i)), F.lit(distinct_values))
+        first = (F.pmod(F.col("id") + 1, F.lit(MODULUS)) * FACTOR + F.lit(7919 * seed + 104729 * i)) % MODULUS
+        pick = (first * first) % MODULUS % distinct_values
         kind = f.dataType
         if isinstance(kind, T.StringType):
             value = F.concat(F.lit(f"{f.name}_"), pick.cast("string"))

@@ -21,6 +21,25 @@ def stream_frequencies(stream: DataFrame, name: str, time: str, interval: str =
     return frequencies(stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late), name, time, interval)
 
 
+def run_frequencies(stream: DataFrame, name: str, time: str, path: str, interval: str = "1 day") -> DataFrame:
+    """Runs a stream over all that is there and returns the frequencies so far: every trigger writes the whole table anew
+    under ``path``, one folder for each batch, and the last one is returned."""
+    last = {}
+
+    def write(batch: DataFrame, number: int) -> None:
+        last["at"] = f"{path}/batch-{number}"
+        batch.write.mode("overwrite").parquet(last["at"])
+
+    counted = frequencies(stream.withColumn(time, F.col(time).cast("timestamp")), name, time, interval)
+    counted.writeStream.foreachBatch(write).outputMode("complete").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.parquet(last["at"])
+
+
+def reset_interval(freq: DataFrame, interval: float, new_interval: float) -> DataFrame:
+    """Frequencies of timesteps of one length as they are expected in timesteps of another."""
+    return freq.withColumn("freq", F.col("freq") * (new_interval / interval))
+
+
 def mix(freq: DataFrame, name: str, mode: str = "each") -> DataFrame:
     """Frequencies of one timestep for all: `static` takes the mean, `first` and `last` an end, `each` leaves them as they are."""
     if mode == "each":
