@@ -3,22 +3,24 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pathmill.functions.expressions import complete_rows, keep, row_hash, without_empty_rows
+from pathmill.functions.expressions import complete_rows, keep, rest_map, row_hash, without_empty_rows
 from pathmill.operators import maintain, migrate, sets
 from pathmill.operators.lookup import combine, lookup, lookup_chain, measured_broadcast
 from pathmill.operators.paths import Path, grouped, ordered
 from pathmill.operators.sampling import interquartile
-from pathmill.plans.model import trade_model
+from pathmill.plans.model import infer_model, statistics, trade_model
+from pathmill.plans.store import ViewStore
 from pathmill.plans.views import View, coarser
-from pathmill.sources.readers import csv_table, parquet_tables, random_rows, write_csv
+from pathmill.sources.readers import FACTOR, MODULUS, csv_table, jdbc_table, parquet_tables, random_rows, write_csv, write_jdbc
 from pathmill.sources.storage import shared_path
-from pathmill.streaming.timesteps import frequencies, mix
+from pathmill.streaming.timesteps import frequencies, mix, reset_interval, run_frequencies
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -127,6 +129,12 @@ def select_star(t):
     return keep(t["customer"], [("c_custkey", "=", 42)])
 
 
+@query("SELECT c_custkey, key, value FROM (SELECT c_custkey, c_name, c_mktsegment, c_nationkey::VARCHAR AS c_nationkey FROM customer) UNPIVOT (value FOR key IN (c_name, c_mktsegment, c_nationkey))")
+def select_rest(t):
+    rest = rest_map(t["customer"].drop("c_acctbal"), ["c_custkey"])
+    return rest.select("c_custkey", F.explode("rest"))
+
+
 # aggregates
 
 
@@ -213,6 +221,29 @@ def tpch_q14_like(t):
     return grouped(path(t, "lineitem", "l_partkey"), ["p_type"], [("sum", "l_extendedprice", 2), ("sum", "l_discount", 2)], [("l_shipdate", ">=", day("1996-09-01")), ("l_shipdate", "<", day("1996-10-01"))])
 
 
+@query(f"SELECT o_orderdate, round(sum(l_extendedprice), 2) AS sum_l_extendedprice, round(sum(l_discount), 2) AS sum_l_discount FROM {FROM_LINES[5]} JOIN part ON l_partkey = p_partkey WHERE r_name = 'AMERICA' AND p_type = 'ECONOMY' AND o_orderdate < timestamp '1996-01-01' GROUP BY o_orderdate")
+def tpch_q8_like(t):
+    rows = path(t, "lineitem", "l_partkey", *LINES_TO_REGION)
+    return grouped(rows, ["o_orderdate"], [("sum", "l_extendedprice", 2), ("sum", "l_discount", 2)], [("r_name", "=", "AMERICA"), ("p_type", "=", "ECONOMY"), ("o_orderdate", "<", day("1996-01-01"))])
+
+
+@query("SELECT l_linestatus, count(o_orderpriority) AS count_o_orderpriority FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_returnflag = 'A' AND l_shipdate < timestamp '1997-01-01' GROUP BY l_linestatus")
+def tpch_q12_like(t):
+    return grouped(path(t, "lineitem", "l_orderkey"), ["l_linestatus"], [("count", "o_orderpriority")], [("l_returnflag", "=", "A"), ("l_shipdate", "<", day("1997-01-01"))])
+
+
+@query("SELECT round(sum(l_extendedprice), 2) AS sum_l_extendedprice, round(sum(l_discount), 2) AS sum_l_discount FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_brand = 'Brand#23' AND p_type = 'PROMO' AND l_returnflag = 'N' AND p_size > 10 AND l_quantity < 30")
+def tpch_q19_like(t):
+    conditions = [("p_brand", "=", "Brand#23"), ("p_type", "=", "PROMO"), ("l_returnflag", "=", "N"), ("p_size", ">", 10), ("l_quantity", "<", 30)]
+    return grouped(path(t, "lineitem", "l_partkey"), [], [("sum", "l_extendedprice", 2), ("sum", "l_discount", 2)], conditions)
+
+
+@query("SELECT s_name, count(o_orderkey) AS count_o_orderkey FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE o_orderstatus = 'F' AND r_name = 'EUROPE' GROUP BY s_name ORDER BY s_name")
+def tpch_q21_like(t):
+    rows = path(t, "orders", "l_orderkey", "l_suppkey", "s_nationkey", "n_regionkey")
+    return ordered(grouped(rows, ["s_name"], [("count", "o_orderkey")], [("o_orderstatus", "=", "F"), ("r_name", "=", "EUROPE")]), ["s_name"])
+
+
 @query("SELECT p_brand, round(avg(l_quantity), 4) AS avg_l_quantity FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size > 40 GROUP BY p_brand")
 def tpch_q17_like(t):
     return grouped(path(t, "lineitem", "l_partkey"), ["p_brand"], [("avg", "l_quantity", 4)], [("p_size", ">", 40)])
@@ -303,9 +334,104 @@ def combined_lookups(t):
     return combine([keep(t["nation"], [("n_regionkey", "=", 1)]).select("n_name"), t["region"].select("r_name")])
 
 
+@query("SELECT o_custkey, o_orderdate, o_orderkey, o_totalprice FROM orders WHERE o_orderstatus IN ('F', 'O')")
+def view_append(t):
+    store = ViewStore(t["orders"].sparkSession)
+    store.save(ORDERS_BY_CUSTOMER, keep(t["orders"], [("o_orderstatus", "=", "F")]))
+    store.append("orders_by_customer", keep(t["orders"], [("o_orderstatus", "=", "O")]))
+    return store.open("orders_by_customer")
+
+
+@query("SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_l_quantity, count(l_quantity) AS count_l_quantity, max(l_tax) AS max_l_tax FROM lineitem WHERE l_quantity > 10 GROUP BY l_returnflag, l_linestatus")
+def view_append_aggregated(t):
+    store = ViewStore(t["lineitem"].sparkSession)
+    store.save(FLAG_TOTALS, keep(t["lineitem"], [("l_quantity", ">", 30)]))
+    store.append("flag_totals", keep(t["lineitem"], [("l_quantity", ">", 10), ("l_quantity", "<=", 30)]))
+    return store.open("flag_totals").withColumn("sum_l_quantity", F.round("sum_l_quantity", 2))
+
+
+@query("SELECT o_custkey, o_orderdate, o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 1.5 ELSE o_totalprice END AS o_totalprice FROM orders")
+def view_upsert_stored(t):
+    store = ViewStore(t["orders"].sparkSession)
+    store.save(ORDERS_BY_CUSTOMER, t["orders"])
+    before = keep(t["orders"], [("o_orderstatus", "=", "P")])
+    maintain.carry_over(store, ["o_totalprice"], {"orders_by_customer": (before, before.withColumn("o_totalprice", F.lit(1.5)))})
+    return store.open("orders_by_customer")
+
+
+@query("SELECT CASE WHEN o_orderstatus = 'P' THEN 7 ELSE o_custkey END AS o_custkey, o_orderdate, o_orderkey, o_totalprice FROM orders")
+def view_moved_keys(t):
+    store = ViewStore(t["orders"].sparkSession)
+    store.save(ORDERS_BY_CUSTOMER, t["orders"])
+    before = keep(t["orders"], [("o_orderstatus", "=", "P")])
+    maintain.carry_over(store, ["o_custkey"], {"orders_by_customer": (before, before.withColumn("o_custkey", F.lit(7).cast("long")))})
+    return store.open("orders_by_customer")
+
+
+@query("SELECT o_custkey, o_orderdate, o_orderkey, o_totalprice FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
+def view_delete_stored(t):
+    store = ViewStore(t["orders"].sparkSession)
+    store.save(ORDERS_BY_CUSTOMER, t["orders"])
+    store.delete("orders_by_customer", keep(t["customer"], [("c_mktsegment", "=", "BUILDING")]).select(F.col("c_custkey").alias("o_custkey")))
+    return store.open("orders_by_customer")
+
+
+@query("SELECT o_custkey, o_orderdate, o_orderkey, o_totalprice FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 9900)")
+def view_lookup_stored(t):
+    store = ViewStore(t["orders"].sparkSession)
+    store.save(ORDERS_BY_CUSTOMER, t["orders"])
+    return store.lookup("orders_by_customer", keep(t["customer"], [("c_acctbal", ">", 9900)]).select(F.col("c_custkey").alias("o_custkey")))
+
+
+@query("SELECT 'orders_by_customer' AS name, (SELECT count(*) FROM orders) AS rows, false AS empty, true AS found UNION ALL SELECT 'no_orders', 0, true, true UNION ALL SELECT 'dropped', 0, true, false")
+def view_states(t):
+    spark = t["orders"].sparkSession
+    store = ViewStore(spark)
+    store.save(ORDERS_BY_CUSTOMER, t["orders"])
+    for name in ("no_orders", "dropped"):
+        store.save(View(name, ("o_custkey",)), t["orders"].where("false"))
+    store.drop("dropped")
+    found = [(n, store.count(n) if store.exists(n) else 0, store.empty(n) if store.exists(n) else True, store.exists(n)) for n in ("orders_by_customer", "no_orders", "dropped")]
+    return spark.createDataFrame(found, "name string, rows long, empty boolean, found boolean")
+
+
+@query("SELECT o_custkey, count(*) AS n, round(sum(l_extendedprice), 2) AS s FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_custkey")
+def view_bucketed_join(t):
+    tag = uuid.uuid4().hex
+    left = View(f"b_orders_{tag}", ("o_orderkey",), (), ("o_custkey",)).save_bucketed(t["orders"], 8)
+    right = View(f"b_lines_{tag}", ("o_orderkey",), ("l_linenumber",), ("l_extendedprice",)).save_bucketed(t["lineitem"].withColumnRenamed("l_orderkey", "o_orderkey"), 8)
+    return left.join(right, "o_orderkey").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("l_extendedprice"), 2).alias("s"))
+
+
+@query("SELECT DISTINCT o_orderpriority, o_orderstatus FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_nationkey = 3")
+def view_distinct(t):
+    rows = keep(path(t, "orders", "o_custkey"), [("c_nationkey", "=", 3)])
+    return View("priorities", ("o_orderpriority",), ("o_orderstatus",), distinct=True).materialize(rows)
+
+
 # maintenance
 
 
+@query("SELECT o_orderkey, CASE WHEN o_custkey IN (SELECT c_custkey FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA') THEN 'X' ELSE o_orderstatus END AS o_orderstatus FROM orders")
+def maint_update_over_path(t):
+    reached = keep(path(t, "orders", "o_custkey", "c_nationkey", "n_regionkey"), [("r_name", "=", "ASIA")])
+    return maintain.update_over(t["orders"], {"o_orderstatus": "X"}, reached, ["o_orderkey"]).select("o_orderkey", "o_orderstatus")
+
+
+@query("SELECT c_custkey, c_name, o_orderkey, o_totalprice FROM customer JOIN (SELECT o_orderkey, o_custkey, o_totalprice FROM orders UNION ALL SELECT -1, 11, 5.0) ON o_custkey = c_custkey WHERE c_custkey < 20")
+def maint_insert_connect(t):
+    changed = maintain.insert_connected(trade_model(), t, "orders", {"o_orderkey": -1, "o_totalprice": 5.0}, {"o_custkey": 11})
+    return keep(path(changed, "customer", "o_custkey"), [("c_custkey", "<", 20)]).select("c_custkey", "c_name", "o_orderkey", "o_totalprice")
+
+
+@query("SELECT CASE WHEN c_custkey IN (3, 5) THEN 99 ELSE c_nationkey END AS c_nationkey, count(*) AS n FROM customer GROUP BY 1")
+def maint_insert_connect_many(t):
+    changed = t
+    for customer in (3, 5):
+        changed = maintain.insert_connected(trade_model(), changed, "nation", {"n_nationkey": 99, "n_name": "NOWHERE", "n_regionkey": 0}, {"c_nationkey": customer})
+    return path(changed, "customer", "c_nationkey").groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("SELECT o_custkey, count(*) AS n FROM (SELECT o_custkey FROM orders UNION ALL SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING') GROUP BY o_custkey")
 def maint_insert(t):
     new = keep(t["customer"], [("c_mktsegment", "=", "BUILDING")]).select(F.col("c_custkey").alias("o_custkey"), (-F.col("c_custkey")).alias("o_orderkey"))
@@ -351,6 +477,32 @@ def migrate_full_outer(t):
     return migrate.full_outer(parts, ["o_custkey"])
 
 
+@query("SELECT coalesce(a.k, b.k) AS o_custkey, a.n AS sum_f, b.n AS sum_o FROM (SELECT o_custkey AS k, count(*) AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY 1) a FULL JOIN (SELECT o_custkey AS k, count(*) AS n FROM orders WHERE o_orderstatus = 'O' GROUP BY 1) b ON a.k = b.k")
+def migrate_stored(t):
+    store = ViewStore(t["orders"].sparkSession)
+    for s in "FO":
+        counted = keep(t["orders"], [("o_orderstatus", "=", s)]).groupBy("o_custkey").agg(F.count(F.lit(1)).alias(f"sum_{s.lower()}"))
+        store.save(View(f"orders_{s}", ("o_custkey",), (), (f"sum_{s.lower()}",)), counted)
+    both = View("orders_both", ("o_custkey",), (), ("sum_f", "sum_o"))
+    made, gone = migrate.step(store, {"orders_both": (both, ["orders_F", "orders_O"], ["o_custkey"])})
+    if (made, gone, store.names()) != ({"orders_both"}, {"orders_F", "orders_O"}, ["orders_both"]):
+        raise RuntimeError("the migration left other views than those of the next timestep")
+    return store.open("orders_both")
+
+
+@query("SELECT DISTINCT c_custkey, c_mktsegment, n FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderstatus = 'P' GROUP BY 1) ON o_custkey = c_custkey")
+def migrate_left_outer(t):
+    counted = keep(t["orders"], [("o_orderstatus", "=", "P")]).groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count(F.lit(1)).alias("n"))
+    return migrate.left_outer(t["customer"].select("c_custkey", "c_mktsegment"), counted, ["c_custkey"], distinct=True)
+
+
+@query("SELECT 'o_orderstatus' AS \"column\", count(*) FILTER (o_orderstatus <> 'P') AS equal, count(*) FILTER (o_orderstatus = 'P') AS different, (SELECT count(*) FROM orders WHERE o_custkey >= 1000) AS only_a, 0 AS only_b FROM orders WHERE o_custkey < 1000 UNION ALL SELECT 'o_totalprice', count(*), 0, (SELECT count(*) FROM orders WHERE o_custkey >= 1000), 0 FROM orders WHERE o_custkey < 1000")
+def migrate_validate_columns(t):
+    ours = t["orders"].select("o_orderkey", "o_orderstatus", "o_totalprice")
+    theirs = maintain.update(keep(t["orders"], [("o_custkey", "<", 1000)]), {"o_orderstatus": "X"}, [("o_orderstatus", "=", "P")])
+    return sets.compare_columns(ours, theirs.select(*ours.columns), ["o_orderkey"])
+
+
 @query("SELECT cast(count(*) AS BIGINT) AS missing, cast(0 AS BIGINT) AS extra, (SELECT count(*) FROM orders) AS rows_a, (SELECT count(DISTINCT l_orderkey) FROM lineitem) AS rows_b, CASE WHEN count(*) = 0 THEN 'equal' WHEN count(*) <= 0.01 * (SELECT count(*) FROM orders) THEN 'approximate' ELSE 'different' END AS verdict FROM (SELECT o_orderkey FROM orders EXCEPT ALL SELECT l_orderkey FROM (SELECT DISTINCT l_orderkey FROM lineitem))")
 def migrate_validate(t):
     return sets.compare(t["orders"].select("o_orderkey"), t["lineitem"].select(F.col("l_orderkey").alias("o_orderkey")).distinct())
@@ -366,12 +518,18 @@ def multiset_diff(t):
     return sets.multiset_difference(*[keep(t["orders"], [c]).select("o_custkey") for c in (("o_orderstatus", "=", "F"), ("o_orderpriority", "=", "1-URGENT"))])
 
 
-@query("SELECT l_returnflag, count(*) AS n, round(sum(l_quantity), 2) AS s FROM (SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS rn, count(*) OVER (PARTITION BY l_returnflag) AS cnt FROM lineitem) WHERE rn >= cnt * 0.25 AND rn < cnt * 0.75 GROUP BY l_returnflag")
+@query("SELECT l_returnflag, count(*) AS n, round(sum(l_quantity), 2) AS s FROM (SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS rn, count(*) OVER (PARTITION BY l_returnflag) AS cnt FROM lineitem) WHERE cnt < 100 OR (rn >= floor(cnt * 0.25) AND rn < floor(cnt * 0.75)) GROUP BY l_returnflag")
 def sample_interquartile(t):
     middle = interquartile(t["lineitem"], ["l_returnflag"], ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"])
     return middle.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("l_quantity"), 2).alias("s"))
 
 
+@query("SELECT o_orderstatus, count(*) AS n, round(sum(o_totalprice), 2) AS s FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS rn, count(*) OVER (PARTITION BY o_custkey) AS cnt FROM orders WHERE o_custkey < 300) WHERE cnt < 12 OR (rn >= floor(cnt * 0.25) AND rn < floor(cnt * 0.75)) GROUP BY o_orderstatus")
+def sample_interquartile_small(t):
+    middle = interquartile(keep(t["orders"], [("o_custkey", "<", 300)]), ["o_custkey"], ["o_orderkey"], whole_below=12)
+    return middle.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("s"))
+
+
 @query("SELECT event_type, date_trunc('day', ts) AS start, count(*) AS freq FROM events GROUP BY event_type, date_trunc('day', ts)")
 def timestep_frequency(t):
     return frequencies(t["events"], "event_type", "ts").withColumn("start", F.col("start").cast("timestamp_ntz"))
@@ -387,6 +545,25 @@ def timestep_first(t):
     return mix(frequencies(t["events"], "event_type", "ts"), "event_type", "first")
 
 
+@query("SELECT event_type, count(*) AS freq FROM events WHERE date_trunc('day', ts) = (SELECT max(date_trunc('day', ts)) FROM events) GROUP BY event_type")
+def timestep_last(t):
+    return mix(frequencies(t["events"], "event_type", "ts"), "event_type", "last")
+
+
+@query("SELECT event_type, date_trunc('day', ts) AS start, count(*) * (3600.0 / 86400.0) AS freq FROM events GROUP BY event_type, date_trunc('day', ts)")
+def timestep_reset(t):
+    return reset_interval(frequencies(t["events"], "event_type", "ts"), 86400.0, 3600.0).withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query("SELECT event_type, date_trunc('day', ts) AS start, count(*) AS freq FROM events GROUP BY event_type, date_trunc('day', ts)")
+def timestep_stream(t):
+    spark = t["events"].sparkSession
+    folder, file = t["events"].inputFiles()[0].rsplit("/", 1)
+    # The table is a file beside other tables, or a folder of its own.
+    stream = spark.readStream.schema(t["events"].schema).option("pathGlobFilter", "*" if folder.endswith(".parquet") else file).parquet(folder)
+    return run_frequencies(stream.select("event_type", "ts"), "event_type", "ts", shared_path(spark, "stream")).withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
 @query("SELECT o_orderkey, l_linenumber FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderstatus = 'P'")
 def complete_view_rows(t):
     rows = keep(Path(trade_model(), t, "orders").follow("l_orderkey", how="left").df, [("o_orderstatus", "=", "P")]).select("o_orderkey", "l_linenumber")
@@ -405,10 +582,32 @@ def csv_round_trip(t):
     return csv_table(t["customer"].sparkSession, folder, "customer", t["customer"].schema)
 
 
-@query("SELECT range AS id, 'name_' || (0 * range) AS name FROM range(1000)")
+@query("SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer")
+def jdbc_round_trip(t):
+    spark, schema = t["customer"].sparkSession, t["customer"].schema
+    url, table, driver = f"jdbc:derby:memory:m{uuid.uuid4().hex};create=true", "customer", {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    write_jdbc(t["customer"].coalesce(1), url, table, **driver)
+    read = jdbc_table(spark, url, table, "c_custkey", 0, 2000, 4, **driver)
+    return read.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
+
+
+@query(f"SELECT range AS id, 'name_' || (f1 * f1 % {MODULUS} % 10) AS name, f2 * f2 % {MODULUS} % 10 AS score FROM (SELECT range, ((range + 1) * {FACTOR} + 7919 * 42 + 104729) % {MODULUS} AS f1, ((range + 1) * {FACTOR} + 7919 * 42 + 104729 * 2) % {MODULUS} AS f2 FROM range(1000))")
 def random_source(t):
-    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("name", T.StringType())])
-    return random_rows(t["nation"].sparkSession, schema, 1000, distinct_values=1)
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("name", T.StringType()), T.StructField("score", T.LongType())])
+    return random_rows(t["nation"].sparkSession, schema, 1000)
+
+
+@query("SELECT 'nation' AS entity, 'n_nationkey' AS \"column\", count(*) AS rows, count(DISTINCT n_nationkey) AS distinct_values, avg(strlen(n_nationkey::VARCHAR)) AS mean_bytes FROM nation UNION ALL SELECT 'nation', 'n_name', count(*), count(DISTINCT n_name), avg(strlen(n_name)) FROM nation UNION ALL SELECT 'nation', 'n_regionkey', count(*), count(DISTINCT n_regionkey), avg(strlen(n_regionkey::VARCHAR)) FROM nation UNION ALL SELECT 'region', 'r_regionkey', count(*), count(DISTINCT r_regionkey), avg(strlen(r_regionkey::VARCHAR)) FROM region UNION ALL SELECT 'region', 'r_name', count(*), count(DISTINCT r_name), avg(strlen(r_name)) FROM region")
+def model_statistics(t):
+    return statistics({n: t[n] for n in ("nation", "region")}, exact=True)
+
+
+@query("SELECT r_name, count(*) AS n FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name")
+def model_inferred(t):
+    spark = t["nation"].sparkSession
+    tables = {"nation": t["nation"].withColumnRenamed("n_regionkey", "r_regionkey"), "region": t["region"]}
+    model = infer_model(spark, tables, {"nation": ("n_nationkey",), "region": ("r_regionkey",)})
+    return Path(model, tables, "nation").follow(*model.edges).df.groupBy("r_name").agg(F.count(F.lit(1)).alias("n"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

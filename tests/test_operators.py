@@ -7,12 +7,13 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pathmill.functions.expressions import complete_rows, keep, row_hash, without_empty_rows
+from pathmill.functions.expressions import complete_rows, keep, rest_map, row_hash, without_empty_rows
 from pathmill.operators import maintain, migrate, sets
 from pathmill.operators.lookup import combine, lookup
 from pathmill.operators.paths import Path, grouped, ordered
 from pathmill.operators.sampling import interquartile, sample_rows
 from pathmill.plans.model import Model, infer_model, statistics
+from pathmill.plans.store import ViewStore
 from pathmill.plans.views import View, coarser
 from pathmill.sources.readers import csv_table, random_rows, write_csv
 from pathmill.streaming.timesteps import mix, stream_frequencies
@@ -81,7 +82,92 @@ def test_interquartile_takes_the_middle_half(spark):
     df = spark.range(1000).withColumn("k", F.lit(1))
     got = [r["id"] for r in interquartile(df, ["k"], ["id"]).collect()]
     assert sorted(got) == list(range(250, 750))
-    assert sample_rows(df, 0.5).count() == sample_rows(df, 0.5).count()
+    assert sorted(r["id"] for r in interquartile(df.where("id < 101"), ["k"], ["id"]).collect()) == list(range(25, 75))
+    mixed = spark.range(500).withColumn("k", F.when(F.col("id") < 99, F.lit(None)).otherwise(F.lit(1)))  # 99 rows stay whole
+    assert sorted(r["id"] for r in interquartile(mixed, ["k"], ["id"]).collect()) == [*range(99), *range(99 + 100, 99 + 300)]
+    assert interquartile(df.limit(0), ["k"], ["id"]).collect() == []
+
+
+def test_samples_are_complete_rows_of_about_the_share(spark):
+    df = spark.range(4000).withColumn("v", F.when(F.col("id") % 2 == 0, F.col("id")))
+    got = {r["id"] for r in sample_rows(df, 0.5).collect()}
+    assert 850 < len(got) < 1150 and all(i % 2 == 0 for i in got)
+    assert got == {r["id"] for r in sample_rows(df, 0.5).collect()} != {r["id"] for r in sample_rows(df, 0.5, seed=1).collect()}
+    assert any(i % 2 for i in (r["id"] for r in sample_rows(df, 0.5, columns=["id"]).collect()))
+
+
+def test_stored_views(spark, tmp_path):
+    store = ViewStore(spark, str(tmp_path / "views"), buckets=3)
+    view = View("v", ("k",), ("o",), ("x",))
+    df = spark.createDataFrame([(i % 5, i, f"x{i}") for i in range(20)] + [(None, 99, "n")], "k int, o int, x string")
+    assert values(store.save(view, df)) == values(df) and store.view("v") == view
+    again = ViewStore(spark, str(tmp_path / "views"))  # opened by name, with the buckets it was written with
+    again.append("v", spark.createDataFrame([(7, 1, "new")], df.schema))
+    assert again.count("v") == 22 and values(again.lookup("v", spark.createDataFrame([(7,)], "k int"))) == [(7, 1, "new")]
+    again.upsert("v", spark.createDataFrame([(7, 1, "newer"), (8, 2, "other")], df.schema))
+    assert values(again.open("v").where("k > 6")) == [(7, 1, "newer"), (8, 2, "other")] and again.count("v") == 23
+    again.delete("v", spark.createDataFrame([(k,) for k in (0, 1, 2, 3, 4, 7)], "k int"))
+    assert values(again.open("v")) == [(8, 2, "other"), (None, 99, "n")]
+    again.delete("v", spark.createDataFrame([(8, 1)], "k int, o int"))
+    assert again.count("v") == 2
+    again.delete("v", spark.createDataFrame([(8, 2)], "k int, o int"))
+    assert again.count("v") == 1 and not again.empty("v")
+    with pytest.raises(ValueError):
+        again.delete("v", spark.createDataFrame([(2,)], "o int"))
+    store.save(View("w", ("k",), distinct=True), df)
+    store.append("w", df)
+    assert store.names() == ["v", "w"] and store.count("w") == 6
+    store.drop("v")
+    assert not store.exists("v") and store.names() == ["w"]
+    store.clear()
+    assert store.names() == []
+    with pytest.raises(KeyError):
+        store.open("v")
+
+
+def test_views_that_a_statement_touches(spark, tmp_path):
+    store = ViewStore(spark, str(tmp_path), buckets=2)
+    df = spark.createDataFrame([(1, 10, "a"), (2, 20, "b")], "k int, o int, x string")
+    store.save(View("by_k", ("k",), ("o",), ("x",)), df)
+    store.save(View("no_x", ("k",), ("o",)), df)
+    before = df.where("k = 1")
+    after = before.withColumn("x", F.lit("z"))
+    assert maintain.carry_over(store, ["x"], {"by_k": (before, after), "no_x": (before, after)}) == ["by_k"]
+    after = before.withColumn("o", F.lit(11))
+    assert maintain.carry_over(store, ["o"], {"by_k": (before, after), "no_x": (before, after)}) == ["by_k", "no_x"]
+    assert values(store.open("by_k")) == [(1, 11, "a"), (2, 20, "b")] and values(store.open("no_x")) == [(1, 11), (2, 20)]
+
+
+def test_nulls_in_aggregates_and_the_size_of_a_group(spark):
+    df = spark.createDataFrame([("a", 1), ("a", None), ("b", None)], "g string, v int")
+    assert values(grouped(df, ["g"], [("count", "v"), ("count", "*"), ("avg", "v"), ("sum", "v")])) == [("a", 1, 2, 1.0, 1), ("b", 0, 1, None, None)]
+
+
+def test_rest_is_a_map_without_nulls(spark):
+    df = spark.createDataFrame([(1, "x", None), (2, None, 3.5)], "k int, s string, d double")
+    assert sorted((r["k"], r["rest"]) for r in rest_map(df, ["k"]).collect()) == [(1, {"s": "x"}), (2, {"d": "3.5"})]
+
+
+def test_columns_are_compared_one_by_one(spark):
+    a = spark.createDataFrame([(1, 1.001, None), (2, 2.0, "x"), (3, 3.0, "y")], "k int, v double, s string")
+    b = spark.createDataFrame([(1, 1.0, None), (2, 2.5, "x"), (4, 3.0, "y")], "k int, v double, s string")
+    assert values(sets.compare_columns(a, b, ["k"])) == [("s", 2, 0, 1, 1), ("v", 1, 1, 1, 1)]
+
+
+def test_shared_folder_needs_a_setting_on_a_cluster(spark):
+    from pathmill.sources.storage import shared_folder
+
+    class Conf(dict):
+        def set(self, k, v):
+            self[k] = v
+
+    class Session:
+        conf = Conf({"spark.master": "local-cluster[3,2,1000]"})
+
+    with pytest.raises(ValueError):
+        shared_folder(Session)
+    Session.conf = Conf({"spark.master": "local[2]"})
+    assert shared_folder(Session) == Session.conf["spark.checkpoint.dir"] == shared_folder(Session)
 
 
 def test_lookup_right_side_wins_and_null_keys_drop(spark):
