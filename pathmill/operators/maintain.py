@@ -40,7 +40,7 @@ def update_over(df: DataFrame, settings: dict[str, object], reached: DataFrame,
 def insert_connected(model: Model, tables: dict[str, DataFrame], entity: str, row: dict[str, object], connections: dict[str, object]) -> dict[str, DataFrame]:
     """The tables with a new row of ``entity`` that is connected over foreign keys, named with the key of the row at the
     other end. A key that the entity holds is set in the new row; one that the other entity holds is set there."""
-    row, changed = dict(row), dict(tables)
+    row, changed = dict(row), tables | {}
     for edge, target in connections.items():
         fk = model.edges[edge]
         if fk.entity == entity:

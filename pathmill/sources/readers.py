@@ -7,8 +7,25 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def parquet_tables(spark: SparkSession, folder: str, names: tuple[str, ...]) -> dict[str, DataFrame]:
-    return {n: spark.read.parquet(f"{folder}/{n}.parquet") for n in names}
+class Tables(dict):
+    """Tables by name, each opened when it is first asked for: a query reads the footers of its own tables only."""
+
+    def __init__(self, spark: SparkSession, folder: str, names: tuple[str, ...], held: dict[str, DataFrame] | None = None):
+        super().__init__(held or {})
+        self.spark, self.folder, self.names = spark, folder, names
+
+    def __missing__(self, name: str) -> DataFrame:
+        if name not in self.names:
+            raise KeyError(name)
+        self[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return self[name]
+
+    def __or__(self, changed: dict[str, DataFrame]) -> Tables:
+        return Tables(self.spark, self.folder, self.names, {**self, **changed})
+
+
+def parquet_tables(spark: SparkSession, folder: str, names: tuple[str, ...]) -> Tables:
+    return Tables(spark, folder, names)
 
 
 def csv_table(spark: SparkSession, folder: str, entity: str, schema: T.StructType) -> DataFrame:

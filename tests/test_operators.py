@@ -15,7 +15,7 @@ from pathmill.operators.sampling import interquartile, sample_rows
 from pathmill.plans.model import Model, infer_model, statistics
 from pathmill.plans.store import ViewStore
 from pathmill.plans.views import View, coarser
-from pathmill.sources.readers import csv_table, random_rows, write_csv
+from pathmill.sources.readers import csv_table, parquet_tables, random_rows, write_csv
 from pathmill.streaming.timesteps import mix, stream_frequencies
 
 
@@ -244,3 +244,12 @@ def test_stream_of_timesteps_drops_late_events(spark, tmp_path):
     assert ("a", day(1), 2) in got and ("b", day(1), 1) in got and ("a", day(1), 3) not in got
     freq = spark.createDataFrame([("a", day(1), 2), ("a", day(2), 4), ("b", day(2), 1)], "name string, start timestamp, freq long")
     assert values(mix(freq, "name", "static")) == [("a", 3.0), ("b", 0.5)] and values(mix(freq, "name", "last")) == [("a", 4), ("b", 1)]
+
+
+def test_tables_are_opened_when_asked_for(spark, folder):
+    tables = parquet_tables(spark, folder, ("nation", "region"))
+    assert not tables and tables["nation"].count() == 25 and list(tables) == ["nation"]
+    changed = tables | {"nation": tables["nation"].limit(1)}
+    assert changed["nation"].count() == 1 and changed["region"].count() == 5 and "region" not in tables
+    with pytest.raises(KeyError):
+        tables["planet"]
