@@ -87,7 +87,8 @@ def test_stages_take_any_rows(spark, docs, labels, items, monkeypatch, name):
         assert got.columns == docs.columns and got.dtypes == docs.dtypes
     ids = sorted((r["doc_id"] if r["doc_id"] is not None else -1) for r in got.collect())
     if name == "near_dedup":
-        assert ids == [-1, 1, 4, 6, 7, 8, 10]
+        # The row without an id shares 18 of 19 five-word shingles with row 4, over the stage's limit of 0.8, so it goes.
+        assert ids == [1, 4, 6, 7, 8, 10]
     if name == "decontamination":
         assert ids == [1, 2, 3, 6, 7, 8, 10]
     if name == "line_dedup":
