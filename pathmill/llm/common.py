@@ -2,35 +2,58 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-LINE_SEPARATOR = "\n"
+from pathmill.sources.storage import remove, shared_folder
+
+#: Lists of row ids up to this number (some 16 bytes each) are broadcast, longer ones are joined by a shuffle.
+BROADCAST_IDS = 1 << 20
+_scratch: list[list[str]] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``; a local one is made only where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="pathmill-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
 def materialize(df: DataFrame, partitions: int | None = None) -> DataFrame:
     """Writes ``df`` as Parquet in the shared folder and returns a reader of it, so that lost executors cost no recomputation."""
     path = f"{shared_folder(df.sparkSession)}/pathmill/{uuid.uuid4().hex}"
+    if _scratch:
+        _scratch[-1].append(path)
     (df.coalesce(partitions) if partitions else df).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """Tables written by ``materialize`` inside are removed at the end, but for those handed to ``keep``."""
+    _scratch.append([])
+    try:
+        yield _scratch[-1]
+    finally:
+        for path in _scratch.pop():
+            remove(spark, path)
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """A written copy of ``df`` that outlives the innermost ``scratch``."""
+    own = _scratch.pop()
+    try:
+        return materialize(df)
+    finally:
+        _scratch.append(own)
+
+
+def by_ids(df: DataFrame, ids: DataFrame, column: str, how: str) -> DataFrame:
+    """``df`` joined with a written table of ids (and little beside them), which is broadcast if it is short."""
+    return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, column, how)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
@@ -67,19 +90,21 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     the node, so that a node with very many edges is split by adaptive execution. Each round is written to the shared
     folder. Nothing but two sums per round reaches the driver.
     """
-    cur = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    last = None
-    for _ in range(max_rounds):
-        both = cur.unionAll(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
-        large = both.join(low, F.col("a") == F.col("u")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        low2 = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "u")
-        small = large.join(low2, F.col("a") == F.col("u")).select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
-        cur = materialize(small)
-        state = cur.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == last:
-            break
-        last = state
-    else:
-        raise RuntimeError("connected components did not settle")
-    return cur.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(cur.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
+    with scratch(edges.sparkSession):
+        cur = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+        last = None
+        for _ in range(max_rounds):
+            both = cur.unionAll(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            low = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
+            large = both.join(low, F.col("a") == F.col("u")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+            low2 = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "u")
+            small = large.join(low2, F.col("a") == F.col("u")).select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
+            cur = materialize(small)
+            state = cur.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+            if state == last:
+                break
+            last = state
+        else:
+            raise RuntimeError("connected components did not settle")
+        out = cur.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(cur.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
+        return keep(out)
