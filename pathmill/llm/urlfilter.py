@@ -21,7 +21,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pathmill.llm.common import materialize, table
+from pathmill.llm.common import keep, materialize, scratch, table
 
 #: (host, path prefix, verdict); a rule also fits the host's subdomains.
 RULES = (
@@ -88,16 +88,18 @@ def _clusters(siblings: Column) -> Column:
     return F.aggregate(siblings, start, add, lambda s: F.when(F.size(s.own) > 0, F.concat(s.done, F.array(s.own))).otherwise(s.done))
 
 
-def _grow(paths: DataFrame, depth: int) -> DataFrame:
-    """Adds the template's name for the segment at ``depth`` to ``template``; rows with no such segment stay as they are."""
-    seg = F.when(F.size("segments") > depth, F.element_at("segments", depth + 1))
-    paths = paths.withColumn("seg", seg)
+def _names(longer: DataFrame, nodes: DataFrame, depth: int) -> DataFrame:
+    """(host, template, names) for each of ``nodes`` (host, template, total): the templates' names of the segments at
+    ``depth`` that are not variable; all others are a wildcard.
+
+    Each join here is of two written tables and is written itself before the next shuffle, so that adaptive execution
+    can split a node with very many children; what is grouped by a node is at most 1 / MIN_SHARE siblings and a wildcard.
+    """
     node = ["host", "template"]
     sums = [F.sum(c).alias(c) for c in ("n", "labelled", "bad")]
-    children = materialize(paths.where("seg is not null").groupBy(*node, "seg").agg(*sums))
-    totals = children.groupBy(*node).agg(F.sum("n").alias("total"))
-    shared = children.join(totals, node).withColumn("fixed", F.when((F.col("n") >= MIN_SHARE * F.col("total")) & (F.col("n") >= MIN_PAGES), F.col("seg")))
-    siblings = shared.groupBy(*node, "fixed").agg(*sums)  # at most 1 / MIN_SHARE + 1 for each node
+    children = materialize(longer.groupBy(*node, F.element_at("segments", depth + 1).alias("seg")).agg(*sums))
+    shared = materialize(children.join(nodes, node).withColumn("fixed", F.when((F.col("n") >= MIN_SHARE * F.col("total")) & (F.col("n") >= MIN_PAGES), F.col("seg"))).drop("seg"))
+    siblings = shared.groupBy(*node, "fixed").agg(*sums)  # combined before the shuffle
     rate = (F.col("bad") + 1) / (F.col("labelled") + 2)
     sibling = F.struct(rate.alias("rate"), F.coalesce("fixed", F.lit("")).alias("order"), "fixed", "labelled", "bad")
     rows = siblings.groupBy(*node).agg(F.sort_array(F.collect_list(sibling)).alias("all"))
@@ -108,12 +110,8 @@ def _grow(paths: DataFrame, depth: int) -> DataFrame:
     names = rows.select(*node, F.explode(groups).alias("members")).select(*node, members.alias("members"), wild.alias("wild"))
     own = F.array_join(F.sort_array(F.transform("members", lambda x: F.concat(F.lit("="), x))), "|")
     names = names.withColumn("name", F.when(F.col("wild"), F.lit("*")).otherwise(own))
-    names = materialize(names)
-    members = names.select(*node, F.explode("members").alias("seg"), F.col("name").alias("own"))
-    wild = names.where("wild").select(*node, F.col("name").alias("other"))
-    named = paths.join(members, [*node, "seg"], "left").join(wild, node, "left")
-    longer = F.concat("template", F.lit("/"), F.coalesce("own", "other", F.lit("*")))
-    return named.withColumn("template", F.when(F.col("seg").isNull(), F.col("template")).otherwise(longer)).drop("seg", "own", "other")
+    entries = F.flatten(F.collect_list(F.transform("members", lambda x: F.struct(x.alias("seg"), F.col("name").alias("name")))))
+    return materialize(names.groupBy(*node).agg(F.map_from_entries(entries).alias("names")))
 
 
 def _grown(paths: DataFrame) -> DataFrame:
@@ -129,14 +127,20 @@ def _grown(paths: DataFrame) -> DataFrame:
         named.append(paths.where(size <= depth))
         longer = paths.where(size > depth)
         nodes = materialize(longer.groupBy(*node).agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("paths")).where(F.col("total") >= MIN_PAGES))
-        wide = nodes.where("paths > 1").select(*node)
-        single = nodes.where("paths = 1").select(*node, F.lit(True).alias("single"))
-        ends = longer.join(wide, node, "left_anti").join(single, node, "left")
-        tail = F.when(F.col("single"), F.array_join(F.transform(rest, lambda x: F.concat(F.lit("/="), x)), "")).otherwise(F.repeat(F.lit("/*"), size - depth))
-        named.append(ends.withColumn("template", F.concat("template", tail)).select(*paths.columns))
-        if wide.isEmpty():
+        wide = nodes.where("paths > 1").select(*node, "total")
+        grows = not wide.isEmpty()
+        kinds = nodes.select(*node, (F.col("paths") > 1).alias("wide"))
+        if grows:
+            kinds = kinds.join(_names(longer, wide, depth), node, "left")
+        else:
+            kinds = kinds.withColumn("names", F.lit(None).cast("map<string,string>"))
+        joined = materialize(longer.join(materialize(kinds), node, "left"))
+        tail = F.when(F.col("wide").isNotNull(), F.array_join(F.transform(rest, lambda x: F.concat(F.lit("/="), x)), "")).otherwise(F.repeat(F.lit("/*"), size - depth))
+        named.append(joined.where("wide is null or not wide").withColumn("template", F.concat("template", tail)).select(*paths.columns))
+        if not grows:
             break
-        paths = materialize(_grow(longer.join(wide, node, "left_semi"), depth).select(*paths.columns))
+        name = F.coalesce(F.element_at("names", F.element_at("segments", depth + 1)), F.lit("*"))
+        paths = joined.where("wide").withColumn("template", F.concat("template", F.lit("/"), name)).select(*paths.columns)
         depth += 1
     return reduce(DataFrame.unionByName, named)
 
@@ -151,15 +155,16 @@ def templates(pages: DataFrame, labels: DataFrame) -> DataFrame:
     )
     segments = F.split(F.substr(F.col("path"), F.lit(2)), "/")
     paths = materialize(paths.withColumn("segments", F.when(F.col("path") == "", F.array().cast("array<string>")).otherwise(segments)).withColumn("template", F.lit("")))
-    paths = _grown(paths)
-    paths = materialize(paths.drop("segments"))
+    with scratch(pages.sparkSession):
+        paths = keep(_grown(paths).drop("segments"))
     prior = paths.agg(((F.sum("labelled") - F.sum("bad") + 1) / (F.sum("labelled") + 2)).alias("prior"))
     per_host = paths.groupBy("host").agg(F.sum("labelled").alias("hl"), F.sum("bad").alias("hb")).crossJoin(F.broadcast(prior))  # one row
     host_purity = (F.col("hl") - F.col("hb") + SMOOTHING * F.col("prior")) / (F.col("hl") + SMOOTHING)
     per_host = per_host.select("host", host_purity.alias("host_purity"))
     per_template = paths.groupBy("host", "template").agg(F.sum("labelled").alias("tl"), F.sum("bad").alias("tb")).join(per_host, "host")
     purity = (F.col("tl") - F.col("tb") + SMOOTHING * F.col("host_purity")) / (F.col("tl") + SMOOTHING)
-    return paths.select("host", "path", "template").join(per_template.select("host", "template", purity.alias("purity")), ["host", "template"])
+    per_template = materialize(per_template.select("host", "template", purity.alias("purity")))  # so that the join can be split
+    return paths.select("host", "path", "template").join(per_template, ["host", "template"])
 
 
 def filter_urls(pages: DataFrame, labels: DataFrame, rules: tuple = RULES) -> DataFrame:
