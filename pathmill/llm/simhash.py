@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathmill.llm.common import connected_components, materialize, table
+from pathmill.llm.common import connected_components, keep, materialize, scratch, table
 
 SEED = 42
 MAX_BITS = 3
@@ -168,7 +168,8 @@ def components(rows: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row of ``docs``; component_id is the smallest doc_id reachable."""
     rows = materialize(fingerprints(docs))
-    named = materialize(components(rows))
+    with scratch(docs.sparkSession):
+        named = keep(components(rows))
     first = rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
     names = first.join(named, F.col("fp") == F.col("_fp")).groupBy("root").agg(F.min("first_id").alias("component_id"))
     of_fp = named.join(names, "root").select("_fp", "component_id")
