@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pathmill.llm.common import table
-from pathmill.llm.textmodel import TRAIN_ROWS, Sample, Scorer, minimize, sigmoid
+from pathmill.llm.textmodel import TRAIN_ROWS, Sample, Scorer, fitted, labelled_features, minimize, sigmoid
 
 GRADES = 3
 SELECT_TAIL = 0.5
@@ -57,6 +57,17 @@ def fit_ordinal(sample: Sample, grade: np.ndarray, penalty: float = PENALTY) ->
     return sample.spread(p[:columns]), p[columns] + np.r_[0.0, np.cumsum(np.exp(np.clip(p[columns + 1 :], -20, 20)))]
 
 
+def grades(sample: Sample) -> np.ndarray:
+    return np.where(sample.y["quality"] <= 0, 0, np.where(sample.y["toxic"] > 0, 1, 2))
+
+
+def fit_grades(sample: Sample) -> tuple[np.ndarray | None, np.ndarray | None, int | None]:
+    """(weights, thresholds, None), or without two grades to tell apart (None, None, the only grade)."""
+    grade = grades(sample)
+    found = sorted(set(grade.tolist()))
+    return (*fit_ordinal(sample, grade), None) if len(found) > 1 else (None, None, found[0] if found else None)
+
+
 def _score_batches(model):
     weights, cuts, only = model
 
@@ -82,10 +93,8 @@ def _score_batches(model):
 
 def grade_documents(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
     """(doc_id, n_words, expected_grade, tail_probability, selected) for every row, fitted on at most ``rows`` labelled rows."""
-    sample = Sample(docs, labels, ["quality", "toxic"], rows)
-    grade = np.where(sample.y["quality"] <= 0, 0, np.where(sample.y["toxic"] > 0, 1, 2))
-    found = sorted(set(grade.tolist()))
-    model = (*fit_ordinal(sample, grade), None) if len(found) > 1 else (None, None, found[0] if found else None)
+    targets = ["quality", "toxic"]
+    model = fitted(labelled_features(docs, labels, targets, rows), targets, fit_grades)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2^18 weights, whatever the input
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     kind = texts.schema["doc_id"].dataType.simpleString()

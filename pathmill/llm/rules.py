@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pathmill.llm.common import table
-from pathmill.llm.textmodel import TRAIN_ROWS, Sample, Scorer, minimize, sigmoid
+from pathmill.llm.textmodel import TRAIN_ROWS, Sample, Scorer, fitted, labelled_features, minimize, sigmoid
 
 SYMBOLS = "#*$%&|<>"
 SPACES = "\x20\x09\x0a\x0b\x0c\x0d"
@@ -110,8 +110,8 @@ def _score_batches(heads: list[Head]):
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> list[Head]:
     """The quality head and the toxic head, from at most ``rows`` labelled rows."""
-    sample = Sample(docs, labels, ["quality", "toxic"], rows)
-    return [fit_head(sample, (sample.y[t] > 0).astype(float)) for t in ("quality", "toxic")]
+    targets = ["quality", "toxic"]
+    return fitted(labelled_features(docs, labels, targets, rows), targets, lambda sample: [fit_head(sample, (sample.y[t] > 0).astype(float)) for t in targets])
 
 
 def judge(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", fitted_on: DataFrame | None = None) -> DataFrame:

@@ -2,13 +2,16 @@
 
 A text is the set of its lower-cased words, its word pairs, and the 3- to 5-character n-grams of its distinct words (a
 n-gram counts for each distinct word that holds it), hashed to 2^18 columns. Fits run on a bounded sample of the
-labelled rows, drawn by a hash of doc_id; scoring reads every row in Arrow batches.
+labelled rows, drawn by a hash of doc_id, inside a task; the driver gets the weights only. Scoring reads every row in
+Arrow batches.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from itertools import chain
+import heapq
+import pickle
+from collections.abc import Callable, Iterable, Iterator
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -16,12 +19,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathmill.llm.common import materialize
+from pathmill.llm.common import materialize, shuffle_partitions
 from pathmill.llm.simhash import LOWER
 
 COLUMNS = 1 << 18
 #: The fit takes at most this many labelled rows.
 TRAIN_ROWS = 6000
+#: Of those, it takes rows until they have this many features (six bytes each), which bounds the task's memory.
+TRAIN_FEATURES = 1 << 25
 #: Columns that fewer rows of the sample have get no weight.
 MIN_ROWS = 4
 #: Distinct words that a Python worker remembers; it starts afresh beyond them.
@@ -186,37 +191,73 @@ def _column_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             yield pa.RecordBatch.from_arrays(arrays, names=[*names, "cols", "counts", "scale"])
 
 
+def labelled_features(docs: DataFrame, labels: DataFrame, targets: list[str], rows: int = TRAIN_ROWS) -> DataFrame:
+    """(at, targets, cols, counts, scale) of at most ``rows`` labelled documents, the first by a hash of their id.
+
+    An id with several texts counts once, with the text of the smallest hash, so that repeated rows do not lift the bound.
+    """
+    drawn = labels.where(" AND ".join(f"{t} IS NOT NULL" for t in ["doc_id", *targets])).groupBy("doc_id").agg(*[F.min(t).cast("double").alias(t) for t in targets])
+    drawn = drawn.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)  # a bounded sample, so that it may be broadcast
+    texts = docs.select(F.col("doc_id").alias("_id"), F.col("text").cast("string").alias("text"))
+    joined = texts.join(F.broadcast(drawn), F.col("_id") == F.col("doc_id")).groupBy("doc_id", *targets).agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    spread = joined.repartition(shuffle_partitions(docs.sparkSession), "doc_id").select(F.xxhash64("doc_id").alias("at"), *targets, "text")
+    kinds = ", ".join(["at long", *(f"{t} double" for t in targets), "cols binary, counts binary, scale double"])
+    return materialize(spread.mapInArrow(_column_batches, kinds))
+
+
+def fitted(features: DataFrame, targets: list[str], fit: Callable[[Sample], object]) -> object:
+    """What ``fit`` makes of the sample, in one task: the driver gets the model only, and a lost executor costs one retry."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(Sample(batches, targets)))], pa.binary())], names=["model"])
+
+    conf, size = features.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    held = conf.get(size)
+    conf.set(size, str(BLOCK_ROWS))  # rows of features are long; the JVM shall not hold all of them in one batch
+    try:
+        found = features.coalesce(1).mapInArrow(run, "model binary").collect()
+    finally:
+        conf.set(size, held)
+    return pickle.loads(bytes(found[0]["model"])) if found else fit(Sample(iter(()), targets))
+
+
 class Sample:
     """Rows of the bounded sample, with their targets.
 
-    Features are held as 32-bit columns and 16-bit counts, six bytes each, in the order of the rows; products go through
-    them BLOCK_ROWS rows at a time, so that no array of the sample's size is made beside them.
+    Features are held as 32-bit columns and 16-bit counts, six bytes each, in the order of the hash of the id; products go
+    through them BLOCK_ROWS rows at a time, so that no array of the sample's size is made beside them. Rows after the one
+    that brings TRAIN_FEATURES features are left out.
     """
 
-    def __init__(self, docs: DataFrame, labels: DataFrame, targets: list[str], rows: int = TRAIN_ROWS):
-        drawn = labels.where(" AND ".join(f"{t} IS NOT NULL" for t in ["doc_id", *targets])).groupBy("doc_id").agg(*[F.min(t).cast("double").alias(t) for t in targets])
-        drawn = drawn.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)  # a bounded sample, so that it may be broadcast
-        texts = docs.select(F.col("doc_id").alias("_id"), F.col("text").cast("string").alias("text"))
-        joined = texts.join(F.broadcast(drawn), F.col("_id") == F.col("doc_id")).select(F.xxhash64("doc_id").alias("at"), *targets, "text")
-        kinds = ", ".join(["at long", *(f"{t} double" for t in targets), "cols binary, counts binary, scale double"])
-        held = materialize(joined.mapInArrow(_column_batches, kinds))
-        found = sorted(((r["at"], *(r[t] for t in targets), bytes(r["cols"]), bytes(r["counts"]), r["scale"]) for r in held.toLocalIterator()), key=lambda r: r[: 1 + len(targets)])
-        self.n = len(found)
-        self.order = np.array([r[0] for r in found], np.int64)
-        self.y = {t: np.array([r[1 + k] for r in found], float) for k, t in enumerate(targets)}
-        self.scale = np.array([r[-1] for r in found], float)
+    def __init__(self, batches: Iterable[pa.RecordBatch], targets: list[str]):
+        rows: list[tuple] = []  # a heap, the last row of the order first
+        features, arrival = 0, count()
+        for batch in batches:
+            cols, counts = batch.column("cols"), batch.column("counts")
+            rest = zip(*(batch.column(c).to_pylist() for c in ("at", "scale", *targets)), strict=True)
+            for i, (at, scale, *y) in enumerate(rest):
+                own = np.frombuffer(cols[i].as_buffer(), "<u4")
+                heapq.heappush(rows, (-at, next(arrival), own, np.frombuffer(counts[i].as_buffer(), "<u2"), scale, y))
+                features += len(own)
+                while features - len(rows[0][2]) >= TRAIN_FEATURES:
+                    features -= len(heapq.heappop(rows)[2])
+        rows.sort(key=lambda r: -r[0])
+        order, scales, y = [-r[0] for r in rows], [r[4] for r in rows], {t: [r[5][k] for r in rows] for k, t in enumerate(targets)}
+        held = [(r[2], r[3]) for r in rows]
         rows_of = np.zeros(COLUMNS, np.int32)
-        for r in found:
-            rows_of[np.frombuffer(r[-3], "<u4")] += 1
+        for cols, _ in held:
+            rows_of[cols] += 1
+        self.n = len(held)
+        self.order = np.array(order, np.int64)
+        self.y = {t: np.array(v, float) for t, v in y.items()}
+        self.scale = np.array(scales, float)
         often = rows_of >= MIN_ROWS
         self.active = np.flatnonzero(often)
         number = (np.cumsum(often) - 1).astype(np.int32)
         total = int(rows_of[often].sum(dtype=np.int64))
         self.cols, self.counts = np.zeros(total, np.int32), np.zeros(total, np.uint16)
         self.start = np.zeros(self.n + 1, np.int64)
-        for i in range(self.n):
-            cols, counts = np.frombuffer(found[i][-3], "<u4"), np.frombuffer(found[i][-2], "<u2")
-            found[i] = None
+        for i, (cols, counts) in enumerate(held):
             kept = often[cols]
             at = self.start[i]
             end = self.start[i + 1] = at + np.count_nonzero(kept)
@@ -242,7 +283,7 @@ class Sample:
 
     def spread(self, w: np.ndarray) -> np.ndarray:
         """Weights of the active columns as weights of all columns."""
-        out = np.zeros(COLUMNS)
+        out = np.zeros(COLUMNS, np.float32)
         out[self.active] = w
         return out
 

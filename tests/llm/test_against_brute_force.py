@@ -242,9 +242,7 @@ def test_held_out_accuracy(spark):
     judged = rules.judge(rest, known, fitted_on=docs).join(unseen, "doc_id").where("not base_failed").toPandas()
     toxic, clean, poor = judged[judged.toxic == 1], judged[(judged.toxic == 0) & (judged.quality == 1)], judged[judged.quality == 0]
     assert toxic.kept.mean() < 0.15 and clean.kept.mean() > 0.97 and poor.kept.mean() < 0.1
-    sample = textmodel.Sample(docs, known, ["quality", "toxic"], 1500)
-    grade = np.where(sample.y["quality"] <= 0, 0, np.where(sample.y["toxic"] > 0, 1, 2))
-    weights, cuts = ordinal.fit_ordinal(sample, grade)
+    weights, cuts, _ = textmodel.fitted(textmodel.labelled_features(docs, known, ["quality", "toxic"], 1500), ["quality", "toxic"], ordinal.fit_grades)
     assert cuts[0] < cuts[1] and weights.shape == (textmodel.COLUMNS,)
 
 
