@@ -49,7 +49,7 @@ def keep(df: DataFrame) -> DataFrame:
         _scratch.append(own)
 
 
-def by_ids(df: DataFrame, ids: DataFrame, column: str, how: str) -> DataFrame:
+def by_ids(df: DataFrame, ids: DataFrame, column: str | list[str], how: str) -> DataFrame:
     """``df`` joined with a written table of ids (and little beside them), which is broadcast if it is short."""
     return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, column, how)
 
@@ -87,18 +87,20 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(a, b) edges of longs to (node, root): root is the smallest node that can be reached; only nodes with an edge appear.
 
     Alternating large-star and small-star steps; each is a grouped minimum (combined before the shuffle) and a join on
-    the node, so that a node with very many edges is split by adaptive execution. Each round is written to the shared
-    folder. Nothing but two sums per round reaches the driver.
+    the node of two written tables, by broadcast for a short list of nodes, else by a shuffle in which adaptive execution
+    can split a node with very many edges. Nothing but counts and two sums a round reaches the driver.
     """
     with scratch(edges.sparkSession):
         cur = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
         last = None
         for _ in range(max_rounds):
             both = cur.unionAll(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))
-            low = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
-            large = both.join(low, F.col("a") == F.col("u")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-            low2 = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "u")
-            small = large.join(low2, F.col("a") == F.col("u")).select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
+            low = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
+            large = by_ids(both, low, "a", "inner").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+            large = materialize(large)
+            low = materialize(large.groupBy("a").agg(F.min("b").alias("m")))
+            ends = F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a"), F.col("m").alias("b")))
+            small = by_ids(large, low, "a", "inner").select(F.explode(ends).alias("e")).select("e.*").where("a <> b").distinct()
             cur = materialize(small)
             state = cur.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
             if state == last:
