@@ -3,9 +3,11 @@
 Test items are cut into segments of at most SEGMENT_WORDS words, which an inverted index holds with BM25 impacts, each
 divided by its segment's own score, so that a passage that holds a whole segment scores 1. Segments form blocks; a block
 keeps the largest impact of each term. Documents are cut into overlapping passages such that some passage holds any
-segment of a leak whole. The most frequent terms, which together cannot lift a segment far, are taken as one rest per
-block (the pivot); for each passage the postings of its other terms give the blocks' bounds. Blocks under the threshold
-are skipped and the segments of the rest are scored, so that every segment above the threshold is retrieved.
+segment of a leak whole. A segment's terms are ordered by frequency; its pivot is the term at which their sum passes
+PIVOT_SCORE. What comes before is a rest, too little for the threshold, and has no postings, so the long lists are never
+read. A passage's postings are merged in the order of blocks: blocks without one are skipped unseen, those whose maxima
+and rest stay under the threshold unscored, and the segments of the others are scored, so that every segment above the
+threshold is retrieved. The pivot is found for each segment when the index is built, not anew at each step of a cursor.
 Of retrieved items, five-word shingles of the question (all sentences but the last) and of the answer (the last) must be
 found in the document: at least 0.8 of both, or 0.8 of all. Terms are the words between white space, lower-cased,
 without marks.
@@ -36,13 +38,13 @@ MIN_SCORE = 0.5
 SHINGLE = 5
 MIN_OVERLAP = 0.8
 BLOCK = 4
-#: What the terms before the pivot may add to a segment's score at most.
+#: What the terms before its pivot may add to a segment's score at most.
 PIVOT_SCORE = 0.3
 #: A part of the index takes at most this much, unless one item is larger; a word of an item takes at most WORD_BYTES and its text.
 INDEX_BYTES = 64 << 20
 WORD_BYTES = 160
-#: Bounds of passages and blocks that are held at a time.
-BOUND_CELLS = 1 << 20
+#: Passages that are searched at a time.
+CELLS = 4096
 KNOWN_WORDS = 400_000
 SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -154,57 +156,65 @@ class Index:
         del self.items
 
     def _order(self, df: Counter) -> None:
-        """Splits the terms at the pivot: the most frequent ones, as long as they cannot lift any segment over PIVOT_SCORE
-        together, only count as a rest; the others have postings with a block's number and its largest impact."""
-        size, blocks, held = len(self.vocabulary), len(self.impacts), self.impacts
+        """Finds each segment's pivot: its most frequent terms, as long as they bring it no more than PIVOT_SCORE together,
+        are its rest; the terms from the pivot on have postings, with a block's number and their largest impact in it."""
+        size, held = len(self.vocabulary), self.impacts
+        rows, seat = np.nonzero(held.rows)
+        segment, terms, impact = held.block[rows] * BLOCK + seat, held.term[rows], held.rows[rows, seat].astype(float)
+        count = np.zeros(size, np.int64)
+        count[list(df)] = list(df.values())
+        order = np.lexsort((terms, -count[terms], segment))
+        segment, terms, impact, rows = segment[order], terms[order], impact[order], rows[order]
+        so_far = np.cumsum(impact)
+        so_far -= (so_far - impact)[np.searchsorted(segment, segment)]
+        late = so_far > PIVOT_SCORE
+        self.rest = np.zeros(len(held) * BLOCK)
+        np.maximum.at(self.rest, segment[~late], so_far[~late])
+        self.rest = self.rest.reshape(-1, BLOCK).max(axis=1)
+        bound = np.zeros(len(held.term))
+        np.maximum.at(bound, rows[late], impact[late])
         by_term = np.argsort(held.term, kind="stable")
-        start = np.searchsorted(held.term[by_term], np.arange(size + 1))
-        rest = np.zeros((blocks, BLOCK), np.float32)
-        late = np.ones(size, bool)
-        for t in sorted(df, key=lambda t: (-df[t], t)):
-            rows = by_term[start[t] : start[t + 1]]
-            more = rest[held.block[rows]] + held.rows[rows]
-            if more.max(initial=0) > PIVOT_SCORE:
-                break
-            rest[held.block[rows]] = more
-            late[t] = False
-        self.rest = rest.max(axis=1)
-        by_term = by_term[late[held.term[by_term]]]
+        by_term = by_term[bound[by_term] > 0]
         self.posting_block = held.block[by_term]
-        self.posting_bound = held.rows[by_term].max(axis=1)
+        self.posting_bound = bound[by_term].astype(np.float32)
         self.posting_count = np.bincount(held.term[by_term], minlength=size)
         self.posting_start = np.cumsum(self.posting_count) - self.posting_count
 
     def retrieve(self, numbers: np.ndarray) -> dict[int, float]:
         """Items of which a segment scores at least MIN_SCORE in some passage, with the best score."""
         known = np.flatnonzero(numbers >= 0)
-        blocks = len(self.impacts)
-        if not len(known) or not blocks:
-            return {}
-        ids, cell = numbers[known], known // STRIDE  # a passage is two neighbouring cells
         out: dict[int, float] = {}
-        step = max(1, BOUND_CELLS // blocks)
-        for first in range(0, int(cell[-1]) + 1, step):
-            a, b = np.searchsorted(cell, [first, first + step + 1])
+        if not len(known) or not len(self.impacts):
+            return out
+        ids, cell = numbers[known], known // STRIDE  # a passage is two neighbouring cells
+        for first in range(0, int(cell[-1]) + 1, CELLS):
+            a, b = np.searchsorted(cell, [first, first + CELLS + 1])
             if a < b:
-                self._retrieve(ids[a:b], cell[a:b] - first, step, out)
+                self._retrieve(ids[a:b], cell[a:b] - first, out)
         return out
 
-    def _retrieve(self, ids: np.ndarray, cell: np.ndarray, passages: int, out: dict[int, float]) -> None:
-        """Adds to ``out`` what the passages that start in cells 0 to ``passages`` - 1 retrieve."""
-        blocks, passages = len(self.impacts), min(passages, int(cell[-1]) + 1)
-        n = self.posting_count[ids]
-        posting = np.repeat(self.posting_start[ids] - np.cumsum(n) + n, n) + np.arange(n.sum())
-        key = np.repeat(cell, n) * blocks + self.posting_block[posting]
-        bound = np.bincount(key, weights=self.posting_bound[posting], minlength=(passages + 1) * blocks).astype(float).reshape(-1, blocks)
-        bound[:-1] += bound[1:]  # repeated terms count twice here, so it stays an upper bound
-        bound = bound[:passages] + self.rest
-        last, mine = -1, ids
-        for p, b in np.argwhere(bound >= MIN_SCORE - 1e-4):
+    def _retrieve(self, ids: np.ndarray, cell: np.ndarray, out: dict[int, float]) -> None:
+        """Adds to ``out`` what the passages that start in ``cell`` - 1 and ``cell`` retrieve.
+
+        The cursors of all passages move through the postings in the order of blocks together. Blocks in which a passage
+        has no term from a pivot on are never looked at; of the others the largest impacts and the rest are summed, and
+        only blocks that can reach MIN_SCORE so are scored.
+        """
+        blocks = len(self.impacts)
+        late = self.posting_count[ids] > 0
+        key = np.unique(cell[late] * len(self.posting_count) + ids[late])
+        at, term = key // len(self.posting_count), key % len(self.posting_count)
+        n = self.posting_count[term]
+        posting = np.repeat(self.posting_start[term] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        here = np.repeat(at, n) * blocks + self.posting_block[posting]
+        both, place = np.unique(np.concatenate([here, here - blocks]), return_inverse=True)
+        bound = np.bincount(place, weights=np.tile(self.posting_bound[posting], 2), minlength=len(both))
+        passage, block = both // blocks, both % blocks
+        reach = bound + self.rest[block] >= MIN_SCORE - 1e-4
+        last, mine = -2, ids
+        for p, b in zip(passage[reach].tolist(), block[reach].tolist(), strict=True):
             if p != last:
                 last, mine = p, np.unique(ids[np.searchsorted(cell, p) : np.searchsorted(cell, p + 2)])
-            if not len(mine):
-                continue
             scores = self.impacts.scores(b, mine)
             for s in np.flatnonzero(scores >= MIN_SCORE - 1e-4):
                 item = int(self.of_segment[b * BLOCK + s])
