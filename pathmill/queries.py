@@ -15,7 +15,7 @@ from pathmill.operators import maintain, migrate, sets
 from pathmill.operators.lookup import combine, lookup, lookup_chain, measured_broadcast
 from pathmill.operators.paths import Path, grouped, ordered
 from pathmill.operators.sampling import interquartile
-from pathmill.plans.model import infer_model, statistics, trade_model
+from pathmill.plans.model import Model, infer_model, statistics, trade_model
 from pathmill.plans.store import ViewStore
 from pathmill.plans.views import View, coarser
 from pathmill.sources.readers import FACTOR, MODULUS, csv_table, jdbc_table, parquet_tables, random_rows, write_csv, write_jdbc
@@ -96,6 +96,14 @@ def composite_join(t):
     return t["lineitem"].join(view, ["l_orderkey", "l_linenumber"]).groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("SELECT l.l_returnflag, count(*) AS n FROM lineitem l JOIN (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem WHERE l_linestatus = 'O') v ON l.l_orderkey = v.l_orderkey AND l.l_linenumber = v.l_linenumber GROUP BY l.l_returnflag")
+def composite_path(t):
+    key = ("l_orderkey", "l_linenumber")
+    model = Model({"lineitem": key, "open": key}).link("of_open", "lineitem", "open", key)
+    tables = {"lineitem": t["lineitem"], "open": keep(t["lineitem"], [("l_linestatus", "=", "O")]).select(*key).distinct()}
+    return Path(model, tables, "lineitem").follow("of_open").df.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"))
+
+
 # filters
 
 
