@@ -41,12 +41,23 @@ def record_text(page_id: Column, url: Column, html: Column) -> Column:
 
 
 def to_records(pages: DataFrame, file_pages: int = FILE_PAGES) -> DataFrame:
-    """(file, offset, length, page_id, sha256): the records of ``pages`` laid out in files of ``file_pages`` ids."""
+    """(file, offset, length, page_id, sha256): the records of ``pages`` laid out in files of ``file_pages`` ids, by id and hash.
+
+    A file may hold any share of the rows, such as those without an id: rows are dealt to ranges of file and order, equal
+    ones by a salt, and offsets are summed up within a range and shifted by the lengths of the ranges before it.
+    """
     text = record_text(F.col("page_id"), F.col("url"), F.col("html"))
     file = F.format_string("pages-%08d.warc", F.coalesce(F.floor(F.col("page_id") / file_pages), F.lit(-1)).cast("long"))
     rows = pages.select(file.alias("file"), "page_id", F.octet_length(text).cast("long").alias("length"), F.sha2(text, 256).alias("sha256"))
-    before = Window.partitionBy("file").orderBy("page_id", "sha256").rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)))
+    order = ["page_id", "sha256", "_salt"]
+    salted = rows.withColumn("_salt", F.xxhash64(F.monotonically_increasing_id()))
+    dealt = materialize(salted.repartitionByRange("file", *order).withColumn("_part", F.spark_partition_id()))
+    before = Window.rowsBetween(Window.unboundedPreceding, -1)
+    starts = dealt.groupBy("file", "_part").agg(F.sum("length").alias("_sum"))  # for each file as many rows as it has ranges
+    starts = starts.select("file", "_part", F.coalesce(F.sum("_sum").over(before.partitionBy("file").orderBy("_part")), F.lit(0)).alias("_start"))
+    inside = F.coalesce(F.sum("length").over(before.partitionBy("file", "_part").orderBy(*order)), F.lit(0))
+    placed = dealt.withColumn("_inside", inside).join(starts, ["file", "_part"])
+    return placed.select(*rows.columns, (F.col("_start") + F.col("_inside")).alias("offset"))
 
 
 def leaves(records: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
@@ -130,7 +141,8 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """(file, offset, length, headers, payload, sha256) of the records of the .warc and .warc.gz files at ``path``.
 
     Offsets of gzip files are those of the uncompressed stream. A record cut short at the end of a file is returned with
-    what is there.
+    what is there, in its headers or in its payload. A file is read by one task, which holds it whole: by convention such
+    files have about a gigabyte, and the reader takes none over two.
     """
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     out = "file string, offset long, length long, headers map<string,string>, payload binary, record binary"
@@ -153,8 +165,7 @@ def parse_records(data: bytes) -> Iterator[dict]:
     at = 0
     while at < len(data):
         end = data.find(b"\r\n\r\n", at)
-        if end < 0:
-            return
+        end = end if end >= 0 else len(data)
         lines = data[at:end].decode("utf-8", "replace").split("\r\n")
         headers = {k.strip(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
         size = next((int(v) for k, v in headers.items() if k.lower() == "content-length" and v.isdigit()), 0)
