@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathmill.llm.common import materialize, table
+from pathmill.llm.common import by_ids, materialize, table
 
 #: A line on more than this share of a host's pages is boilerplate, if at least MIN_PAGES pages have it.
 MAX_RATIO = 0.05
@@ -34,7 +34,7 @@ def _lines(text: Column) -> Column:
 def _hash(line: Column) -> Column:
     """128 bits that stand for a line; null for blank lines."""
     bare = F.regexp_replace(line, r"^[ \t\r]+|[ \t\r]+$", "")
-    return F.when(bare != "", F.struct(F.xxhash64(bare).alias("h"), F.xxhash64(bare, F.lit("second")).alias("g")))
+    return F.when(bare != "", F.struct(F.xxhash64(bare).alias("h"), F.xxhash64(F.lit("second"), bare).alias("g")))
 
 
 def boilerplate(docs: DataFrame, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, copies_once: bool = False) -> DataFrame:
@@ -46,7 +46,7 @@ def boilerplate(docs: DataFrame, max_ratio: float = MAX_RATIO, min_pages: int =
         groups = materialize(rows.groupBy("site", "h", "g").agg(F.count(F.lit(1)).alias("copies")))
         pages = groups.groupBy("site").agg(F.count(F.lit(1)).alias("n"))
         # Of a text with c copies each row counts 1 / c, so that no text needs to be gathered; the sums are whole numbers.
-        weighed = rows.join(groups.where("copies > 1").select("h", "g", "copies"), ["h", "g"], "left")
+        weighed = by_ids(rows, materialize(groups.where("copies > 1").select("h", "g", "copies")), ["h", "g"], "left")
         weighed = weighed.select("site", "text", (F.lit(1.0) / F.coalesce("copies", F.lit(1))).alias("weight"))
     else:
         pages = rows.groupBy("site").agg(F.count(F.lit(1)).alias("n"))
