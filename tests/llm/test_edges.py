@@ -113,3 +113,24 @@ def test_pages(pages, labels):
 
 def test_same_name_columns_do_not_leak(docs):
     assert linededup.drop_boilerplate(docs).select("kept", "fp").where((F.col("kept") != "k") | (F.col("fp") != 1)).count() == 0
+
+
+@pytest.mark.parametrize("name", OPERATORS)
+def test_extra_columns_change_nothing(docs, labels, items, name):
+    def rows(df):
+        out = OPERATORS[name](df, labels, items)
+        own = {"op5": ["doc_id", "text", "__pathmill_lines", "__pathmill_dropped"], "op6": ["doc_id", "piece", "start", "length", "ids_crc32"], "op10": ["doc_id", "size", "text_crc32"]}.get(name, out.columns)
+        return sorted(map(str, out.select(*own).collect()))
+
+    assert rows(docs) == rows(docs.select("doc_id", "text", "lang", "source", "n_chars"))
+
+
+def test_ties_of_pages(spark, labels):
+    rows = [(i % 3, f"http://h.net/{'ab'[i % 2]}/x", "<p>same</p>", i) for i in range(12)]  # ids, urls and records that repeat
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, host int")
+    got = urlfilter.filter_urls(pages, labels).collect()
+    assert len(got) == 12 and len({r["template"] for r in got}) <= 2 and {r["verdict"] for r in got} == {"allow"}
+    records = fixity.to_records(pages)
+    assert sorted(r["offset"] for r in records.collect()) == [i * records.first()["length"] for i in range(12)]
+    roots, damage = fixity.audit(records, fixity.to_records(pages.repartition(5)))
+    assert damage.count() == 0 and roots.where("root <> replica_root").count() == 0
