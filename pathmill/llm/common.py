@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -54,6 +56,13 @@ def by_ids(df: DataFrame, ids: DataFrame, column: str | list[str], how: str) ->
     return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, column, how)
 
 
+def release_memory() -> None:
+    """Gives freed memory back to the system where the C library can: workers live on and serve other stages."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathmill.llm.common import materialize, table
+from pathmill.llm.common import materialize, release_memory, table
 
 K1, B = 1.2, 0.75
 SEGMENT_WORDS = 48
@@ -45,7 +45,7 @@ INDEX_BYTES = 64 << 20
 WORD_BYTES = 160
 #: Passages that are searched at a time.
 CELLS = 4096
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 100_000
 SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -278,6 +278,8 @@ def find_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
                 if row:
                     ids = batch.column(0).take(pa.array(row, pa.int32()))
                     yield pa.RecordBatch.from_arrays([ids, *(pa.array([f[k] for f in found], pa.float64() if k else None) for k in range(4))], names=["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
+            del known
+            release_memory()
 
         part = texts.mapInArrow(run, f"doc_id {kinds[0]}, item_id {kinds[1]}, score double, question_overlap double, answer_overlap double")
         out = part if out is None else out.unionAll(part)
@@ -296,6 +298,8 @@ def drop_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
             for batch in batches:
                 clean = [not index.search(text, known) for text in batch.column("text").to_pylist()]
                 yield batch.filter(pa.array(clean, pa.bool_()))
+            del known
+            release_memory()
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathmill.llm.common import table
+from pathmill.llm.common import release_memory, table
 from pathmill.llm.textmodel import TRAIN_ROWS, Sample, Scorer, fitted, labelled_features, minimize, sigmoid
 
 GRADES = 3
@@ -87,6 +87,8 @@ def _score_batches(model):
                     tail = np.full(len(words), 1.0 if only in (None, GRADES - 1) else 0.0)
                 names = [c for c in part.schema.names if c != "text"]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(n), pa.array(expected), pa.array(tail), pa.array((tail >= SELECT_TAIL) & (n > 0))], names=[*names, "n_words", "expected_grade", "tail_probability", "selected"])
+        del scorer
+        release_memory()
 
     return run
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathmill.llm.common import table
+from pathmill.llm.common import release_memory, table
 from pathmill.llm.textmodel import TRAIN_ROWS, Sample, Scorer, fitted, labelled_features, minimize, sigmoid
 
 SYMBOLS = "#*$%&|<>"
@@ -104,6 +104,8 @@ def _score_batches(heads: list[Head]):
                 rest = [part.column(c) for c in part.schema.names if c != "text"]
                 arrays = [*rest, *(pa.array(counts[:, i]) for i in range(5)), *(pa.array(np.full(part.num_rows, np.nan) if p is None else p) for p in by_head)]
                 yield pa.RecordBatch.from_arrays(arrays, names=[c for c in part.schema.names if c != "text"] + ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "p_quality", "p_toxic"])
+        del scorer
+        release_memory()
 
     return run
 
@@ -144,6 +146,8 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 for (head, good), z in zip(live, sums.T, strict=True):
                     kept &= good(head.probability(z))
                 yield part.filter(pa.array(kept))
+        del scorer
+        release_memory()
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathmill.llm.common import materialize, shuffle_partitions
+from pathmill.llm.common import materialize, release_memory, shuffle_partitions
 from pathmill.llm.simhash import LOWER
 
 COLUMNS = 1 << 18
@@ -30,7 +30,7 @@ TRAIN_FEATURES = 1 << 25
 #: Columns that fewer rows of the sample have get no weight.
 MIN_ROWS = 4
 #: Distinct words that a Python worker remembers; it starts afresh beyond them.
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 100_000
 PAIR = np.uint64(0x9E3779B97F4A7C15)
 #: Values of a word's own column, of each of its n-grams and of a word pair.
 WORD, GRAM, TWO = 3.0, 0.5, 0.5
@@ -209,7 +209,12 @@ def fitted(features: DataFrame, targets: list[str], fit: Callable[[Sample], obje
     """What ``fit`` makes of the sample, in one task: the driver gets the model only, and a lost executor costs one retry."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(Sample(batches, targets)))], pa.binary())], names=["model"])
+        sample = Sample(batches, targets)
+        release_memory()
+        model = pickle.dumps(fit(sample))
+        del sample
+        release_memory()
+        yield pa.RecordBatch.from_arrays([pa.array([model], pa.binary())], names=["model"])
 
     conf, size = features.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
     held = conf.get(size)
@@ -236,8 +241,8 @@ class Sample:
             cols, counts = batch.column("cols"), batch.column("counts")
             rest = zip(*(batch.column(c).to_pylist() for c in ("at", "scale", *targets)), strict=True)
             for i, (at, scale, *y) in enumerate(rest):
-                own = np.frombuffer(cols[i].as_buffer(), "<u4")
-                heapq.heappush(rows, (-at, next(arrival), own, np.frombuffer(counts[i].as_buffer(), "<u2"), scale, y))
+                own = np.frombuffer(cols[i].as_buffer(), "<u4").copy()  # so that the batch can go
+                heapq.heappush(rows, (-at, next(arrival), own, np.frombuffer(counts[i].as_buffer(), "<u2").copy(), scale, y))
                 features += len(own)
                 while features - len(rows[0][2]) >= TRAIN_FEATURES:
                     features -= len(heapq.heappop(rows)[2])
